@@ -18,7 +18,8 @@ from detlens import constants as K
 # Character classes written for Java regex so that they equal Python's Unicode classes.
 # WS   = str.isspace()  (Python's \s and the set str.strip() removes)
 # LINE_BREAK = the separators str.splitlines() splits on
-WS = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+WS_CHARS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WS = f"[{WS_CHARS}]"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 DIGIT = r"\p{Nd}"
 WORD_CHAR = r"[\p{L}\p{N}_]"
