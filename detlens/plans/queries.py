@@ -224,22 +224,21 @@ def iob_tags(spark, sf_dir):
     return ctx.select("doc_id", "pos", "w", iob_tag(pos_tag("w"), pos_tag("p")).alias("iob"))
 
 
-def _flags(spark, sf_dir):
-    return D.determiner_flags(D.BigramModel(V.tokens_ctx(_words(spark, sf_dir))))
-
-
 def missing_determiner(spark, sf_dir):
-    return D.missing_determiners(_flags(spark, sf_dir))
+    model = D.BigramModel(V.tokens_ctx(_words(spark, sf_dir)))
+    return D.missing_determiners(D.determiner_flags(model))
 
 
 def extra_determiner(spark, sf_dir):
-    return D.extra_determiners(_flags(spark, sf_dir))
+    model = D.BigramModel(V.tokens_ctx(_words(spark, sf_dir)))
+    return D.extra_determiners(D.extra_flags(model, D.determiner_flags(model)))
 
 
 def annotate(spark, sf_dir):
     words = _words(spark, sf_dir)
-    flags = D.determiner_flags(D.BigramModel(V.tokens_ctx(words)))
-    return D.annotate(words, flags)
+    model = D.BigramModel(V.tokens_ctx(words))
+    decided = D.extra_flags(model, D.determiner_flags(model), with_missing=True)
+    return D.annotate(words, decided)
 
 
 def _tag_replies(words, kind: str):

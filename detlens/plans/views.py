@@ -27,10 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has cores.
+
+    A large input already has many splits (files x row groups) and is left alone; a
+    small one (e.g. a single row group) would otherwise run its per-document work in
+    one task. The shuffle this adds is only ever taken on such small inputs.
+    """
+    spark = df.sparkSession
+    target = max(1, spark.sparkContext.defaultParallelism * factor)
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, words): English documents, lower-cased letter runs."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.filter(F.col("lang") == "en").select(
+    docs = spread(table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "source", "text"))
+    return docs.select(
         "doc_id", "source", F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), 0).alias("words")
     )
 

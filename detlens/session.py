@@ -37,17 +37,39 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # Local mode runs every task inside the driver JVM, so its heap is the executor memory.
+        builder = builder.config("spark.driver.memory", os.environ.get("DETLENS_DRIVER_MEMORY", _local_heap()))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
     return spark
 
 
+def _local_heap() -> str:
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(24, int(total * 0.6 / 2**30)))}g"
+
+
+ADAPTIVE_BROADCAST_BYTES = str(32 * 1024 * 1024)
+
+
 def configure(spark: SparkSession) -> None:
-    """Session settings the operators depend on (safe to call repeatedly)."""
+    """Session settings the operators depend on (safe to call repeatedly).
+
+    Broadcasts are decided only by AQE from the measured size of a finished shuffle
+    stage (below 32 MB), never from plan-time estimates: the size of an exploded token
+    table is estimated from its compressed source and can be off by orders of
+    magnitude. Larger sides stay sort-merge joins, with AQE's skew-join splitting.
+    """
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", ADAPTIVE_BROADCAST_BYTES)
     ensure_checkpoint_dir(spark)
 
 
@@ -81,3 +103,15 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
+
+    Cuts the lineage with one job (a reliable RDD checkpoint computes its input twice
+    unless cached); the files survive executor loss and give AQE real sizes.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
