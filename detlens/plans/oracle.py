@@ -529,18 +529,25 @@ def sql_extra_determiner():
     return with_views(*DETECT_VIEWS) + "SELECT doc_id, pos, w, n, e_ppl1 / 100.0 AS ppl1, e_ppl2 / 100.0 AS ppl2 FROM flags2 WHERE extra"
 
 
-def sql_annotate():
+def annotate_ctes() -> str:
+    """CTE list (after the detector views) ending in ``ann(doc_id, seg, sentence, output)``."""
     marker = " || ".join(
         [f"CASE WHEN missing_{d} THEN {lit(f' [MISSING DET:{d}] ')} ELSE '' END" for d in K.DETERMINERS]
         + ["CASE WHEN extra THEN ' [EXTRA DET:' || w || '] ' ELSE '' END"]
     )
-    return with_views(*DETECT_VIEWS) + f"""
-, marks AS (SELECT doc_id, pos, {marker} AS marker FROM flags2)
-SELECT t.doc_id, t.pos // {SEGMENT} AS seg,
-       string_agg(' ' || t.w, '' ORDER BY t.pos) AS sentence,
-       string_agg(' ' || t.w || coalesce(m.marker, ''), '' ORDER BY t.pos) AS output
-FROM tok t LEFT JOIN marks m ON t.doc_id = m.doc_id AND t.pos = m.pos
-GROUP BY t.doc_id, t.pos // {SEGMENT}"""
+    return f""",
+marks AS (SELECT doc_id, pos, {marker} AS marker FROM flags2),
+ann AS (
+  SELECT t.doc_id AS doc_id, t.pos // {SEGMENT} AS seg,
+         string_agg(' ' || t.w, '' ORDER BY t.pos) AS sentence,
+         string_agg(' ' || t.w || coalesce(m.marker, ''), '' ORDER BY t.pos) AS output
+  FROM tok t LEFT JOIN marks m ON t.doc_id = m.doc_id AND t.pos = m.pos
+  GROUP BY t.doc_id, t.pos // {SEGMENT})
+"""
+
+
+def sql_annotate():
+    return "WITH " + ",\n".join(DETECT_VIEWS) + annotate_ctes() + "SELECT doc_id, seg, sentence, output FROM ann"
 
 
 def sql_parse_pos_reply():
@@ -597,4 +604,8 @@ REGISTRY = {
 
 
 def all_sql() -> dict[str, str]:
-    return {name: fn() for name, fn in REGISTRY.items()}
+    from detlens.plans import oracle_io
+
+    merged = dict(REGISTRY)
+    merged.update(oracle_io.REGISTRY)
+    return {name: fn() for name, fn in merged.items()}

@@ -22,6 +22,10 @@ from detlens.operators import runs as RU
 from detlens.operators.scoring import TemplateScorer, batch_score
 from detlens.operators.tagging import iob_tag, pos_tag
 from detlens.plans import views as V
+from detlens.session import shared_path
+from detlens.sinks import writers as SNK
+from detlens.sources import files as SRC
+from detlens.streaming import run_metrics as ST
 
 
 def _words(spark, sf_dir):
@@ -280,6 +284,152 @@ def parse_iob_reply(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------------------
+# Sources, sinks, manifest and streaming (S1-S8, J1, K1-K6, ST1). Each writes data
+# Spark derives from the driver tables into the shared folder and reads it back.
+# ---------------------------------------------------------------------------
+def _relative_file(root: str, col: str = "file"):
+    return F.regexp_extract(F.col(col), r"(script=.*)\z", 1)
+
+
+def scan_csv_quoted(spark, sf_dir):
+    """Conversations (multi-line text, quotes) through a CSV write and a multiLine read."""
+    conv = V.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "role", "text"
+    )
+    path = shared_path(spark, "conversations-csv")
+    SNK.write_csv(conv, path, emptyValue='""')
+    return SRC.read_csv(spark, path).select("conv_id", "turn", "role", "text")
+
+
+def scan_csv_encoding(spark, sf_dir):
+    """Documents written in three charsets, read back with per-file detection."""
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    root = shared_path(spark, "documents-charsets")
+    for k, enc in enumerate(("utf-8", "cp1252", "latin1")):
+        SNK.write_csv(docs.filter(F.col("doc_id") % 3 == k), f"{root}/{enc}", encoding=enc, emptyValue='""')
+    return SRC.read_csv_any_encoding(spark, root).select("doc_id", "text")
+
+
+def tokenize_lines(spark, sf_dir):
+    """Documents as sentence-per-line text files, read back and split on spaces."""
+    lines = V.table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("value"))
+    path = shared_path(spark, "sentence-lines")
+    lines.write.mode("overwrite").text(path)
+    toks = SRC.tokenize_lines(spark.read.text(path))
+    return toks.select(F.md5("value").alias("line_id"), "pos", "w")
+
+
+def dir_scan_confusion(spark, sf_dir):
+    """S6 + S5 + P17 + A3 + A4: predictions tables written per (script, artifact, run),
+    scanned recursively by glob, raw lines classified, metrics per file."""
+    root = shared_path(spark, "predictions")
+    SNK.write_predictions(V.runs(_words(spark, sf_dir)), root)
+    lines = SRC.scan_prediction_dir(spark, root).withColumn("cls", LN.classify_line("value"))
+    per_file = M.prf_accuracy(M.confusion_from_classes(lines, group=("file",)))
+    return per_file.select(_relative_file(root).alias("file"), "tp", "fp", "fn", "tn", "n_total",
+                           "precision", "recall", "f1", "accuracy")
+
+
+def detect_columns(spark, sf_dir):
+    """S7 + A2 + U2: files with three header variants; counts where the columns are
+    found, an error row where they are not."""
+    runs = V.runs(_words(spark, sf_dir))
+    root = shared_path(spark, "mixed-headers")
+    variant = F.col("run") % 3
+    base = ("script", "run", "sentence", "noun_phrase")
+    SNK.write_csv(runs.filter(variant == 0).select(*base, "grammatical", "grammatical_pred"), root,
+                  partition_by=("script", "run"))
+    SNK.write_csv(runs.filter(variant == 1).select(*base, F.col("grammatical").alias("grammatical_gt"),
+                                                    F.col("grammatical_pred").alias("prediction")),
+                  root, mode="append", partition_by=("script", "run"))
+    SNK.write_csv(runs.filter(variant == 2).select(*base, "grammatical"), root, mode="append",
+                  partition_by=("script", "run"))
+    rows, errors = SRC.read_label_columns(spark, root)
+    good = M.confusion_columns(rows.withColumn("file", SRC.logical_file("path")), "truth", "pred", group=("file",))
+    bad = errors.select(SRC.logical_file("path").alias("file"), "error").distinct()
+    out = good.unionByName(bad, allowMissingColumns=True)
+    return out.select(_relative_file(root).alias("file"), "tp", "fp", "fn", "tn", "n_total", "error")
+
+
+def sink_roundtrip(spark, sf_dir):
+    """K1: the benchmark table written fully quoted and read back unchanged."""
+    b = V.benchmark_table(_words(spark, sf_dir)).select("doc_id", "pos", *K.BENCHMARK_COLUMNS)
+    path = shared_path(spark, "benchmark-csv")
+    SNK.write_quoted_csv(b, path)
+    back = SRC.read_csv(spark, path)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("pos").cast("bigint").alias("pos"),
+                       *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in K.BENCHMARK_COLUMNS])
+
+
+def metrics_kv(spark, sf_dir):
+    """K3: the metrics row as ``key=value`` lines per input (elapsed time excluded)."""
+    m = benchmark_metrics(spark, sf_dir).withColumn("model", F.lit(TemplateScorer.name))
+    return SNK.metrics_kv_lines(m)
+
+
+def metrics_json(spark, sf_dir):
+    """K4: per-run results as nested JSON (confusion + metrics), read back and flattened."""
+    per_run = per_run_metrics(spark, sf_dir)
+    nested = per_run.select(
+        "script", "run",
+        F.struct("tp", "fp", "fn", "tn", "n_total").alias("confusion"),
+        F.struct("precision", "recall", "f1", "accuracy").alias("metrics"),
+    )
+    path = shared_path(spark, "run-results-json")
+    SNK.write_json(nested, path)
+    back = spark.read.schema(nested.schema).json(path)
+    return back.select("script", "run", "confusion.*", "metrics.*")
+
+
+def run_archive(spark, sf_dir):
+    """K5: the per-run archive (partitioned by session/script/model/input/run), read
+    back through partition discovery and counted per partition."""
+    path = shared_path(spark, "run-archive")
+    SNK.write_run_archive(V.runs(_words(spark, sf_dir)), path, session="s0", mode="overwrite")
+    back = spark.read.options(**SRC.CSV_READ_OPTIONS).csv(path)
+    return back.groupBy("script", "model", "input", F.col("run").cast("bigint").alias("run")).agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+def report_text(spark, sf_dir):
+    """K6: the detector report written as text and read back line by line."""
+    words = _words(spark, sf_dir)
+    model = D.BigramModel(V.tokens_ctx(words))
+    decided = D.extra_flags(model, D.determiner_flags(model), with_missing=True)
+    path = shared_path(spark, "detector-report")
+    SNK.write_report(D.annotate(words, decided), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _launch_scripts(spark, sf_dir):
+    sources = V.table(spark, sf_dir, "documents").select("source").distinct()
+    return RU.launch_scripts(sources)
+
+
+def launch_manifest(spark, sf_dir):
+    """Launch scripts (one per source) parsed into (script, model, input, error)."""
+    return RU.parse_launch_scripts(_launch_scripts(spark, sf_dir))
+
+
+def manifest_join(spark, sf_dir):
+    """Parsed launch scripts joined to the predictions found for their artifact key."""
+    manifest = RU.parse_launch_scripts(_launch_scripts(spark, sf_dir))
+    return RU.manifest_join(manifest, V.runs(_words(spark, sf_dir)))
+
+
+def stream_run_metrics(spark, sf_dir):
+    """ST1: prediction files consumed by a file stream; per-run counts as state."""
+    runs = V.runs(_words(spark, sf_dir))
+    source = shared_path(spark, "arriving-predictions")
+    SNK.write_csv(runs.select(*K.PREDICTION_TABLE_COLUMNS, "script", "run"), source,
+                  partition_by=("script", "run"), emptyValue='""')
+    out = ST.stream_once(spark, source)
+    return out.select("script", F.col("run").cast("bigint").alias("run"), "tp", "fp", "fn", "tn", "n_total",
+                      "precision", "recall", "f1", "accuracy")
+
+
 REGISTRY = {
     "benchmark_metrics": benchmark_metrics,
     "confusion_per_class": confusion_per_class,
@@ -317,4 +467,17 @@ REGISTRY = {
     "annotate": annotate,
     "parse_pos_reply": parse_pos_reply,
     "parse_iob_reply": parse_iob_reply,
+    "scan_csv_quoted": scan_csv_quoted,
+    "scan_csv_encoding": scan_csv_encoding,
+    "tokenize_lines": tokenize_lines,
+    "dir_scan_confusion": dir_scan_confusion,
+    "detect_columns": detect_columns,
+    "sink_roundtrip": sink_roundtrip,
+    "metrics_kv": metrics_kv,
+    "metrics_json": metrics_json,
+    "run_archive": run_archive,
+    "report_text": report_text,
+    "launch_manifest": launch_manifest,
+    "manifest_join": manifest_join,
+    "stream_run_metrics": stream_run_metrics,
 }
