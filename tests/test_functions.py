@@ -1,0 +1,169 @@
+"""Golden rows for the scalar operators (FIXTURES §2, §5 and the reference semantics)."""
+
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from detlens.functions import labels as L
+from detlens.functions import text as TX
+from detlens.functions.labels import format_benchmark, require_columns
+from detlens.functions.prompts import judge_prompt
+from detlens.functions.replies import parse_iob_reply, parse_pos_reply
+
+
+def one(spark, expr, value, schema="x string"):
+    return spark.createDataFrame([(value,)], schema).select(expr.alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize(
+    "raw, expected",
+    [
+        ("the  cat", "the cat"),
+        ("the cat", "the cat"),
+        ("  NaN ", ""),
+        ("None", ""),
+        ("null", ""),
+        ("NAT", ""),
+        (None, ""),
+        ("ｔｈｅ ｃａｔ", "the cat"),
+        ("a\t\nb c", "a b c"),
+        ("ﬁne", "fine"),
+    ],
+)
+def test_clean_text(spark, raw, expected):
+    assert one(spark, TX.clean_text("x"), raw) == expected
+
+
+def test_clean_text_matches_python_on_unicode(spark):
+    samples = ["Ⅻ ｃａｔ", "x　y", "ﬀ  é", "½  cup", "plain"]
+
+    def py(t):
+        t = unicodedata.normalize("NFKC", t).replace(" ", " ")
+        t = " ".join(t.split())
+        return "" if t.lower() in ("", "nan", "none", "nat", "null") else t
+
+    df = spark.createDataFrame([(s,) for s in samples], "x string")
+    got = [r["y"] for r in df.select(TX.clean_text("x").alias("y")).collect()]
+    assert got == [py(s) for s in samples]
+
+
+@pytest.mark.parametrize(
+    "raw, strict, wide, wide_pass, ev, ev_cs",
+    [
+        ("A", "yes", "yes", "yes", "yes", "yes"),
+        (" Yes ", "yes", "yes", "yes", "yes", "Yes"),
+        ("b", "no", "no", "no", "no", "no"),
+        ("TRUE", "true", "yes", "yes", "yes", "TRUE"),
+        ("0", "0", "no", "no", "no", "0"),
+        ("maybe", "maybe", "", "maybe", "maybe", "maybe"),
+        (None, "", "", "", None, None),
+    ],
+)
+def test_label_maps(spark, raw, strict, wide, wide_pass, ev, ev_cs):
+    df = spark.createDataFrame([(raw,)], "x string")
+    r = df.select(
+        L.label_strict("x").alias("a"), L.label_wide("x").alias("b"), L.label_wide_pass("x").alias("c"),
+        L.label_eval("x").alias("d"), L.label_eval("x", True).alias("e"),
+    ).first()
+    assert (r["a"], r["b"], r["c"], r["d"], r["e"]) == (strict, wide, wide_pass, ev, ev_cs)
+
+
+def test_format_benchmark(spark):
+    rows = [
+        ("s", "cat", "the cat"),
+        ("s", "the  cat", ""),
+        ("s", "the cat", "NaN"),
+        ("s", "the cat", "null"),
+        ("s", "ｔｈｅ ｃａｔ", ""),
+    ]
+    df = spark.createDataFrame(rows, "sentence string, noun_phrase string, gold_fix string")
+    got = [(r["grammatical"], r["corrected"]) for r in format_benchmark(df).collect()]
+    assert got == [("no", "the cat"), ("yes", "the cat"), ("yes", "the cat"), ("yes", "the cat"), ("yes", "the cat")]
+    no_fix = spark.createDataFrame([("s", "the cat")], "sentence string, noun_phrase string")
+    assert [(r["grammatical"], r["corrected"]) for r in format_benchmark(no_fix).collect()] == [("yes", "the cat")]
+
+
+def test_required_columns(spark):
+    df = spark.createDataFrame([("s",)], "sentence string")
+    with pytest.raises(ValueError, match="noun_phrase"):
+        require_columns(df, ("sentence", "noun_phrase"))
+
+
+@pytest.mark.parametrize(
+    "raw, expected",
+    [
+        ("  1) the cat", "the cat"),
+        ("should be the cat", "the cat"),
+        ("Output is \"the cat\"", "the cat"),
+        ("- “a dog”", "a dog"),
+        ("answer is: the cat", "is: the cat"),
+        ("island", "island"),
+        (None, ""),
+    ],
+)
+def test_clean_fix(spark, raw, expected):
+    assert one(spark, TX.clean_fix("x"), raw) == expected
+
+
+@pytest.mark.parametrize(
+    "raw, expected",
+    [(None, True), ("  ", True), ("<noun phrase>", True), ("Noun Phrase", True), ("the cat>", True),
+     ("<x", True), ("the cat", False)],
+)
+def test_is_placeholder(spark, raw, expected):
+    assert one(spark, TX.is_placeholder("x"), raw) is expected
+
+
+@pytest.mark.parametrize(
+    "raw, expected",
+    [(' "The  Cat." ', "the cat"), ("the cat;:", "the cat"), ("‘a dog’", "a dog"), (None, "")],
+)
+def test_norm_np(spark, raw, expected):
+    assert one(spark, TX.norm_np("x"), raw) == expected
+
+
+def test_artifact_key(spark):
+    df = spark.createDataFrame(
+        [("meta-llama/Llama 3.2:1B", "data/dir/formatted.csv"), ("", "a/b/"), (None, "x.csv")],
+        "m string, i string",
+    )
+    got = [r["k"] for r in df.select(TX.artifact_key("m", "i").alias("k")).collect()]
+    assert got == [
+        "meta-llama_Llama_3.2_1B__formatted.csv__predictions.csv",
+        "model__b__predictions.csv",
+        "model__x.csv__predictions.csv",
+    ]
+
+
+@pytest.mark.parametrize(
+    "a, b, d",
+    [("the cat", "cat", 4), ("kitten", "sitting", 3), ("", "abc", 3), (None, "abc", 3), (" é ", "e", 1),
+     ("abc", "abc", 0)],
+)
+def test_edit_distance(spark, a, b, d):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(TX.edit_distance("a", "b").alias("d")).first()["d"] == d
+    assert df.select(TX.edit_distance("b", "a").alias("d")).first()["d"] == d
+
+
+def test_pos_reply_parse(spark):
+    reply = "The/article\nsandwich/_Noun was/verb good/ADJECTIVE. junk /x a/b/c"
+    got = one(spark, parse_pos_reply("x"), reply)
+    assert [(r["word"], r["tag"]) for r in got] == [
+        ("The", "article"), ("sandwich", "noun"), ("was", "verb"), ("good", "adjective."), ("a", "b/c"),
+    ]
+
+
+def test_iob_reply_parse(spark):
+    reply = "Here is the output: The/B-NP sandwich/I-NP\nwas/O good/O."
+    got = one(spark, parse_iob_reply("x"), reply)
+    assert [(r["word"], r["tag"]) for r in got] == [
+        ("The", "B-NP"), ("sandwich", "I-NP"), ("was", "O"), ("good", "O."),
+    ]
+
+
+def test_prompt_mentions_fields_and_marker(spark):
+    df = spark.createDataFrame([("I saw cat.", "cat")], "s string, n string")
+    p = df.select(judge_prompt("s", "n").alias("p")).first()["p"]
+    assert 'Sentence: "I saw cat."' in p and 'Noun phrase: "cat"' in p and p.rstrip().endswith("<EOT>:")
