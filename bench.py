@@ -37,7 +37,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
+    wanted = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE))
+    names = list(Q.REGISTRY) if wanted == "all" else [n for n in wanted.split(",") if n]
     spark = get_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, app="detlens-bench")
     # Warm the JVM and the Python workers once.
     Q.benchmark_metrics(spark, sf_dir).write.format("noop").mode("overwrite").save()

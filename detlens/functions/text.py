@@ -1,17 +1,16 @@
 """Scalar text functions as Spark Columns.
 
-All of these are native JVM expressions except NFKC normalisation, which Spark has no
-builtin for; that one is an Arrow pandas UDF fed only the non-ASCII rows.
+All of these are JVM expressions. Spark has no NFKC builtin; normalisation calls the
+ICU library that ships with Spark (used there for collations) through ``reflect``,
+only for values that contain a non-ASCII character (ASCII is NFKC-stable).
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from detlens import constants as K
 
@@ -53,16 +52,14 @@ def is_non_ascii(c) -> Column:
     return col(c).rlike(r"[^\x00-\x7F]")
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_udf(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
 def nfkc(c) -> Column:
-    """Unicode NFKC. ASCII text is NFKC-stable, so only non-ASCII values cross into Python;
-    the rest reach the UDF as NULL (a validity bit in the Arrow batch)."""
+    """Unicode NFKC (ICU ``Normalizer.compose(s, compat=true)``), skipped for ASCII values."""
     c = col(c)
-    return F.coalesce(_nfkc_udf(F.when(is_non_ascii(c), c)), c)
+    normalized = F.reflect(F.lit(ICU_NORMALIZER), F.lit("compose"), c, F.lit(True))
+    return F.when(c.isNotNull() & is_non_ascii(c), normalized).otherwise(c)
 
 
 def clean_text(c) -> Column:
