@@ -33,15 +33,19 @@ def char_class(chars: str) -> str:
     return "[" + "".join(re.escape(ch) for ch in chars) + "]"
 
 
+# The same whitespace set as literal characters, for ``trim`` (no regex needed).
+WS_LITERAL = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(cp) for cp in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(c) -> Column:
     """``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(col(c), rf"\A{WS}+|{WS}+\z", "")
+    return F.trim(col(c), F.lit(WS_LITERAL))
 
 
 def strip_chars(c, chars: str) -> Column:
     """``str.strip(chars)``."""
-    cls = char_class(chars)
-    return F.regexp_replace(col(c), rf"\A{cls}+|{cls}+\z", "")
+    return F.trim(col(c), F.lit(chars))
 
 
 def collapse_ws(c) -> Column:
