@@ -115,3 +115,16 @@ def materialize(df, name: str):
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables under the shared checkpoint folder.
+
+    Call it once the DataFrames that read them have been consumed. Uses the Hadoop
+    FileSystem of the folder, so it works for any scheme the cluster uses.
+    """
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/detlens"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))

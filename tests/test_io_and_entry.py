@@ -118,3 +118,21 @@ def test_query_matches_oracle(spark, sf_dir, duck, name):
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
     assert _bag(df.collect(), df.columns) == _bag(res.fetchall(), ocols)
+
+
+def test_scoring_run_writes_predictions_and_metrics(spark, sf_dir):
+    from detlens.operators.scoring import TemplateScorer
+    from detlens.plans.scoring_run import run_scoring
+
+    bench = V.benchmark_table(V.english_words(spark, sf_dir))
+    out = shared_path(spark, "t-scoring-run")
+    m = run_scoring(bench, TemplateScorer, out, model="templates", input_name="bench.csv", keep=("doc_id", "pos"))
+    row = m.first()
+    direct = M.benchmark_metrics(V.preds(V.english_words(spark, sf_dir))).first()
+    assert row["model"] == "templates" and row["input"] == "bench.csv" and row["elapsed_sec"] >= 0
+    for c in ("n_total", "tp_yes", "fp_yes", "fn_yes", "tp_no", "fp_no", "fn_no"):
+        assert row[c] == direct[c], c
+    assert abs(row["macro_f1"] - direct["macro_f1"]) < 1e-12
+    lines = spark.read.text(f"{out}/metrics/txt").collect()
+    keys = [r["value"].split("=", 1)[0] for r in lines]
+    assert keys[:3] == ["model", "input", "elapsed_sec"] and keys[-1] == "mean_edit_distance_TP_no"
