@@ -19,11 +19,26 @@ PLACEHOLDERS = ("<noun phrase>", "<corrected noun phrase>", "noun phrase", "corr
 # Quote characters stripped from both ends of a correction.
 QUOTE_CHARS = "\"“”'‘’"
 
-# Leading boilerplate removed from a correction (case-insensitive, needs whitespace after).
-BOILERPLATE_ALTERNATION = "followed by|is|should be|output(?: is)?|answer(?: is)?"
-
-# Leading punctuation removed once from a correction.
-LEADING_PUNCT_CLASS = ",;:–—-"
+# ---------------------------------------------------------------------------
+# Patterns (Java regex). Placeholders: {s} = one whitespace character in
+# the sense of Python's str.isspace, {d} = one decimal digit, {w} = one word character.
+# \A and \z anchor the whole string.
+# ---------------------------------------------------------------------------
+PAT_ANSWER_PREFIX = r"(?iu)\A{s}*\**{s}*answer{s}*[:\-]*{s}*"
+PAT_NUMBERING = r"\A{s}*(?:\(?{d}+\)?[.)-]{s}*)"
+PAT_VERDICT = r"(?isu)\A{s}*{word}{s}*[:\-]?{s}*(.*)\z"
+VERDICT_WORDS = (("yes", "yes"), ("no", "no"), ("a", "yes"), ("b", "no"))   # (word, verdict), in order
+PAT_FALLBACK = r"(?iu)(?<!{w})(yes|no)(?!{w})[:\-]?{s}*([^\n]*)"
+PAT_BOILERPLATE = r"(?iu)\A{s}*(?:followed by|is|should be|output(?: is)?|answer(?: is)?){s}+"
+PAT_LEADING_PUNCT = r"\A{s}*[,;:–—-]{s}*"
+PAT_TRAILING_NP_PUNCT = r"[.,;:]+\z"
+PAT_UNSAFE_NAME = r"[^A-Za-z0-9._-]+"
+PAT_LINE_CLASS = r",{s}*{gold}{s}*,[^,]*,{s}*{pred}{s}*(?:,|\z)"
+LINE_CLASSES = (("tp", "yes", "yes"), ("fn", "yes", "no"), ("fp", "no", "yes"), ("tn", "no", "no"))  # in order
+HEADER_PREFIX = "sentence,"
+PAT_CONTINUATION = r"\\[ \t]*(?:\r\n|\n|\z)"
+PAT_COMMAND = r"(?:\A|\n){s}*(?:python3?|/usr/bin/python[0-9.]*){s}+[^\\\n]*{program}[^\n]*"
+PAT_ARGUMENT = r"--{name}(?:{s}+|=)(\"[^\"]*\"|'[^']*'|[^{ws}\"']+)"
 
 # ---------------------------------------------------------------------------
 # Text cleaning and labels

@@ -1,7 +1,8 @@
 """Parsing free-text model replies into columns.
 
-Everything is written with Spark's higher-order array functions, so a reply is parsed
-inside whole-stage code generation with no Python in the loop.
+Everything is written with Spark's higher-order array functions and regexes, so a
+reply is parsed by JVM expressions, with no Python in the loop. (Lambda functions are
+evaluated without code generation, but stay in the executor's JVM.)
 """
 
 from __future__ import annotations
@@ -11,20 +12,14 @@ from pyspark.sql import functions as F
 
 from detlens import constants as K
 from detlens.functions.text import (
-    DIGIT, LINE_BREAK, WORD_CHAR, WS, clean_fix, col, is_placeholder, norm_np, py_strip,
+    LINE_BREAK, NUMBERING, clean_fix, col, is_placeholder, norm_np, pattern, py_strip,
 )
 
-_ANSWER_PREFIX = rf"(?iu)\A{WS}*\**{WS}*answer{WS}*[:\-]*{WS}*"
-_NUMBERING = rf"\A{WS}*(?:\(?{DIGIT}+\)?[.)-]{WS}*)"
+_ANSWER_PREFIX = pattern(K.PAT_ANSWER_PREFIX)
 # Verdict patterns, tried in this order on each line; the first that matches wins.
-_VERDICTS = (
-    ("yes", rf"(?isu)\A{WS}*yes{WS}*[:\-]?{WS}*(.*)\z"),
-    ("no", rf"(?isu)\A{WS}*no{WS}*[:\-]?{WS}*(.*)\z"),
-    ("yes", rf"(?isu)\A{WS}*a{WS}*[:\-]?{WS}*(.*)\z"),
-    ("no", rf"(?isu)\A{WS}*b{WS}*[:\-]?{WS}*(.*)\z"),
-)
+_VERDICTS = tuple((verdict, pattern(K.PAT_VERDICT, word=word)) for word, verdict in K.VERDICT_WORDS)
 # Fallback: the first stand-alone yes/no anywhere; the rest of that line is the fix.
-_FALLBACK = rf"(?iu)(?<!{WORD_CHAR})(yes|no)(?!{WORD_CHAR})[:\-]?{WS}*([^\n]*)"
+_FALLBACK = pattern(K.PAT_FALLBACK)
 
 
 def reply_text(reply) -> Column:
@@ -51,7 +46,7 @@ def reply_lines(text) -> Column:
 
 def _line_verdict(line) -> Column:
     line = F.regexp_replace(line, _ANSWER_PREFIX, "")
-    line = F.regexp_replace(line, _NUMBERING, "")
+    line = F.regexp_replace(line, NUMBERING, "")
     verdict = None
     after = None
     for label, pattern in _VERDICTS:

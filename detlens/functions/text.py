@@ -7,8 +7,6 @@ only for values that contain a non-ASCII character (ASCII is NFKC-stable).
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,15 +20,18 @@ WS = f"[{WS_CHARS}]"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 DIGIT = r"\p{Nd}"
 WORD_CHAR = r"[\p{L}\p{N}_]"
-NUMBERING = rf"\A{WS}*(?:\(?{DIGIT}+\)?[.)-]{WS}*)"
 
 
-def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def pattern(template: str, **extra) -> str:
+    """Fill a fixed pattern's placeholders with the Python-equivalent Java classes."""
+    return template.format(s=WS, d=DIGIT, w=WORD_CHAR, ws=WS_CHARS, **extra)
+
 
+NUMBERING = pattern(K.PAT_NUMBERING)
 
-def char_class(chars: str) -> str:
-    return "[" + "".join(re.escape(ch) for ch in chars) + "]"
+
+def col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 # The same whitespace set as literal characters, for ``trim`` (no regex needed).
@@ -78,8 +79,8 @@ def clean_fix(c) -> Column:
     """Clean the text after a verdict (numbering, boilerplate, punctuation, quotes)."""
     s = py_strip(F.coalesce(col(c), F.lit("")))
     s = F.regexp_replace(s, NUMBERING, "")
-    s = F.regexp_replace(s, rf"(?iu)\A{WS}*(?:{K.BOILERPLATE_ALTERNATION}){WS}+", "")
-    s = F.regexp_replace(s, rf"\A{WS}*{char_class(K.LEADING_PUNCT_CLASS)}{WS}*", "")
+    s = F.regexp_replace(s, pattern(K.PAT_BOILERPLATE), "")
+    s = F.regexp_replace(s, pattern(K.PAT_LEADING_PUNCT), "")
     s = strip_chars(py_strip(s), K.QUOTE_CHARS)
     return py_strip(s)
 
@@ -101,13 +102,13 @@ def norm_np(c) -> Column:
     """Noun-phrase normal form used for the no-op check."""
     t = F.lower(py_strip(F.coalesce(col(c), F.lit(""))))
     t = py_strip(strip_chars(t, K.QUOTE_CHARS))
-    t = F.regexp_replace(t, r"[.,;:]+\z", "")
+    t = F.regexp_replace(t, K.PAT_TRAILING_NP_PUNCT, "")
     return collapse_ws(t)
 
 
 def safe_name(c) -> Column:
     """Runs of characters outside [A-Za-z0-9._-] become '_'."""
-    return F.regexp_replace(col(c), r"[^A-Za-z0-9._-]+", "_")
+    return F.regexp_replace(col(c), K.PAT_UNSAFE_NAME, "_")
 
 
 def basename(c) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from detlens import constants as K
 from detlens.functions.lines import classify_line, csv_line
-from detlens.functions.text import WS, WS_CHARS, artifact_key, basename, col
+from detlens.functions.text import artifact_key, basename, col, pattern
 from detlens.operators.metrics import confusion_from_classes, prf_accuracy
 
 RUN_KEYS = ("script", "model", "input")
@@ -75,12 +75,11 @@ def summary_entries(across: DataFrame) -> DataFrame:
 # S8 launch-script manifest, J1 join to the predictions
 # ---------------------------------------------------------------------------
 DEFAULT_PROGRAM = r"[^\s\\]*\.py"
-_VALUE = rf"(\"[^\"]*\"|'[^']*'|[^{WS_CHARS}\"']+)"
 
 
 def _arg(cmd: Column, name: str) -> Column:
-    pattern = rf"--{name}(?:{WS}+|=){_VALUE}"
-    return F.when(cmd.rlike(pattern), F.regexp_extract(cmd, pattern, 1))
+    pat = pattern(K.PAT_ARGUMENT, name=name)
+    return F.when(cmd.rlike(pat), F.regexp_extract(cmd, pat, 1))
 
 
 def parse_launch_scripts(scripts: DataFrame, program: str = DEFAULT_PROGRAM) -> DataFrame:
@@ -90,8 +89,8 @@ def parse_launch_scripts(scripts: DataFrame, program: str = DEFAULT_PROGRAM) ->
     isolated (else the whole text is searched), then --model / --input are read in
     either ``--x v`` or ``--x=v`` form, bare or quoted; input keeps its base name.
     """
-    merged = F.regexp_replace(col("text"), r"\\[ \t]*(?:\r\n|\n|\z)", " ")
-    command = rf"(?:\A|\n){WS}*(?:python3?|/usr/bin/python[0-9.]*){WS}+[^\\\n]*{program}[^\n]*"
+    merged = F.regexp_replace(col("text"), K.PAT_CONTINUATION, " ")
+    command = pattern(K.PAT_COMMAND, program=program)
     staged = scripts.select(
         "script",
         F.when(merged.rlike(command), F.regexp_extract(merged, command, 0)).otherwise(merged).alias("_cmd"),

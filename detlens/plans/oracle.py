@@ -41,8 +41,8 @@ def clean_text(x: str) -> str:
 
 
 NUMBERING = r"^\s*(?:\(?\d+\)?[.)-]\s*)"
-BOILER = rf"(?i)^\s*(?:{K.BOILERPLATE_ALTERNATION})\s+"
-PUNCT = r"^\s*[" + K.LEADING_PUNCT_CLASS + r"]\s*"
+BOILER = r"(?i)^\s*(?:followed by|is|should be|output(?: is)?|answer(?: is)?)\s+"
+PUNCT = r"^\s*[,;:–—-]\s*"
 
 
 def clean_fix(x: str) -> str:

@@ -288,7 +288,8 @@ def parse_iob_reply(spark, sf_dir):
 # Sources, sinks, manifest and streaming (S1-S8, J1, K1-K6, ST1). Each writes data
 # Spark derives from the driver tables into the shared folder and reads it back.
 # ---------------------------------------------------------------------------
-def _relative_file(root: str, col: str = "file"):
+def _relative_file(col: str = "file"):
+    """The part of a table-partition path below the table root."""
     return F.regexp_extract(F.col(col), r"(script=.*)\z", 1)
 
 
@@ -327,7 +328,7 @@ def dir_scan_confusion(spark, sf_dir):
     SNK.write_predictions(V.runs(_words(spark, sf_dir)), root)
     lines = SRC.scan_prediction_dir(spark, root).withColumn("cls", LN.classify_line("value"))
     per_file = M.prf_accuracy(M.confusion_from_classes(lines, group=("file",)))
-    return per_file.select(_relative_file(root).alias("file"), "tp", "fp", "fn", "tn", "n_total",
+    return per_file.select(_relative_file().alias("file"), "tp", "fp", "fn", "tn", "n_total",
                            "precision", "recall", "f1", "accuracy")
 
 
@@ -349,7 +350,7 @@ def detect_columns(spark, sf_dir):
     good = M.confusion_columns(rows.withColumn("file", SRC.logical_file("path")), "truth", "pred", group=("file",))
     bad = errors.select(SRC.logical_file("path").alias("file"), "error").distinct()
     out = good.unionByName(bad, allowMissingColumns=True)
-    return out.select(_relative_file(root).alias("file"), "tp", "fp", "fn", "tn", "n_total", "error")
+    return out.select(_relative_file().alias("file"), "tp", "fp", "fn", "tn", "n_total", "error")
 
 
 def sink_roundtrip(spark, sf_dir):

@@ -25,7 +25,14 @@ def write_quoted_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by=(), **options) -> None:
-    """Minimal quoting; whitespace kept as is."""
+    """Minimal quoting; whitespace kept as is.
+
+    Partitioned writes are rebalanced on the partition columns first: AQE aims at about
+    one file per partition value and splits values too large for one task, instead of
+    every task writing a small file into every partition directory.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode).options(**{**MINIMAL_OPTIONS, **options})
     if partition_by:
         w = w.partitionBy(*partition_by)
