@@ -130,3 +130,33 @@ def test_template_scorer_equals_native_expression(spark, sf_dir):
     native = b.withColumn("reply", V.template_reply())
     seam = batch_score(b, TemplateScorer)
     assert native.exceptAll(seam).count() == 0 and seam.exceptAll(native).count() == 0
+
+
+LAUNCH_CASES = [
+    ("a.sh", "#!/bin/bash\npython3 /x/score.py --model org/m-1 --input data/in.csv\n", ("org/m-1", "in.csv", None)),
+    ("b.sh", 'python score.py \\\n   --model="org/m 2" \\\n   --input=\'dir/sub/two.csv\'\n', ("org/m 2", "two.csv", None)),
+    ("c.sh", "echo start\n/usr/bin/python3.11 run.py --input x.csv   --model  'q'\n", ("q", "x.csv", None)),
+    ("d.sh", "python3 score.py --input only.csv\n", (None, None, "--model not found in d.sh")),
+    ("e.sh", "python3 score.py --model m\n", (None, None, "--input not found in e.sh")),
+    ("f.sh", "srun --model outer --input o.csv\npython3 score.py --model inner --input i.csv\n", ("inner", "i.csv", None)),
+]
+
+
+def test_launch_script_parsing(spark):
+    df = spark.createDataFrame([(s, t) for s, t, _ in LAUNCH_CASES], "script string, text string")
+    got = {r["script"]: (r["model"], r["input"], r["error"]) for r in RU.parse_launch_scripts(df).collect()}
+    for script, _, expected in LAUNCH_CASES:
+        assert got[script] == expected, script
+    # With a program pattern that matches no command line, the whole text is searched.
+    only = RU.parse_launch_scripts(df.filter(F.col("script") == "f.sh"), program=r"nothing\.py").first()
+    assert (only["model"], only["input"]) == ("outer", "o.csv")
+
+
+def test_manifest_join_reports_missing_predictions(spark):
+    manifest = spark.createDataFrame([("s1", "m/x", "in.csv", None), ("s2", "m/y", "gone.csv", None)],
+                                     "script string, model string, input string, error string")
+    runs = spark.createDataFrame([("m/x", "in.csv", 1), ("m/x", "in.csv", 2)], "model string, input string, run bigint")
+    got = {r["script"]: r for r in RU.manifest_join(manifest, runs).collect()}
+    assert (got["s1"]["n_rows"], got["s1"]["n_runs"], got["s1"]["error"]) == (2, 2, None)
+    assert got["s1"]["artifact"] == "m_x__in.csv__predictions.csv"
+    assert got["s2"]["n_rows"] == 0 and got["s2"]["error"].startswith("no predictions for")
