@@ -39,7 +39,8 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     wanted = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE))
     names = list(Q.REGISTRY) if wanted == "all" else [n for n in wanted.split(",") if n]
-    spark = get_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, app="detlens-bench")
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "0")) or (int(cpus) if cpus.isdigit() else 8)
+    spark = get_session(f"local[{cpus}]", parts, app="detlens-bench")
     # Warm the JVM and the Python workers once.
     Q.benchmark_metrics(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
