@@ -3,7 +3,6 @@
 import unicodedata
 
 import pytest
-from pyspark.sql import functions as F
 
 from detlens.functions import labels as L
 from detlens.functions import text as TX

@@ -5,7 +5,6 @@ import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
 from detlens.functions.lines import csv_line

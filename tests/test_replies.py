@@ -1,7 +1,6 @@
 """Golden rows for reply parsing (FIXTURES §3) and raw-line classes (FIXTURES §4)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from detlens.functions.lines import classify_line, is_data_line
 from detlens.functions.replies import predict
