@@ -95,12 +95,12 @@ def run_table_with_summary(spark, sf_dir):
 # Scalar operators over derived rows
 # ---------------------------------------------------------------------------
 def clean_text(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
+    docs = V.spread(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", TX.clean_text("text").alias("clean"))
 
 
 def _raw_words(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+    docs = V.spread(V.table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(V.WORD_PATTERN), 0)).alias("pos", "raw")).withColumn(
         "pos", F.col("pos").cast("bigint")
     )
