@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from detlens.llm import contamination
+from detlens.llm import contamination, hostrules, neardup
 
 QUERIES = {
+    "op7_host_rules": hostrules.op7_host_rules,
+    "op9_minhash_hamming": neardup.op9_minhash_hamming,
     "op4_decontaminate": contamination.op4_decontaminate,
 }
 
 SQL = {
+    "op7_host_rules": hostrules.OP7_SQL,
+    "op9_minhash_hamming": neardup.OP9_SQL,
     "op4_decontaminate": contamination.OP4_SQL,
 }
