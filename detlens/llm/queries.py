@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from detlens.llm import contamination, hostrules, neardup
+from detlens.llm import contamination, hostrules, mixing, neardup, warc
 
 QUERIES = {
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op3_warc_salvage": warc.op3_warc_salvage,
     "op7_host_rules": hostrules.op7_host_rules,
     "op9_minhash_hamming": neardup.op9_minhash_hamming,
     "op4_decontaminate": contamination.op4_decontaminate,
 }
 
 SQL = {
+    "op5_mix_sources": mixing.OP5_SQL,
+    "op3_warc_salvage": warc.OP3_SQL,
     "op7_host_rules": hostrules.OP7_SQL,
     "op9_minhash_hamming": neardup.OP9_SQL,
     "op4_decontaminate": contamination.OP4_SQL,
