@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from detlens.llm import contamination, hostrules, mixing, neardup, warc
+from detlens.llm import contamination, hostrules, mixing, neardup, tokens, warc
 
 QUERIES = {
+    "op8_huffman_tokens": tokens.op8_huffman_tokens,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op3_warc_salvage": warc.op3_warc_salvage,
     "op7_host_rules": hostrules.op7_host_rules,
