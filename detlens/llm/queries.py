@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from detlens.llm import contamination, hostrules, mixing, neardup, tokens, warc
+from detlens.llm import contamination, hostrules, mixing, neardup, tokens, toxicity, warc
 
 QUERIES = {
+    "op6_toxicity_bigru": toxicity.op6_toxicity_bigru,
     "op8_huffman_tokens": tokens.op8_huffman_tokens,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op3_warc_salvage": warc.op3_warc_salvage,
