@@ -33,7 +33,8 @@ TRAIN_DOCS, TRAIN_BYTES = 4000, 12 << 20
 THRESHOLD = 0.3
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 16
 DIM, HIDDEN, ATTEND = 8, 8, 8
-EPOCHS, BATCH = 4, 256
+#: An epoch has about so many steps of at least so many windows.
+EPOCHS, STEPS, LEAST_BATCH = 5, 36, 16
 #: Windows that go through the network at once.
 CHUNK = 4096
 _PREFIX = np.uint64(0x517CC1B727220A95)
@@ -200,6 +201,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     (_, _, slice_), = C.slices(pa.array(texts, pa.large_string()), 1 << 62)
     f = Features(slice_)
     _start_from_odds(net, f, labels)
+    net.p["out_bias"][0] = np.log(labels.mean() / (1 - labels.mean()))
     rng = np.random.default_rng(seed)
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     squares = {"words": np.full(WORD_BUCKETS, 1e-6, np.float32), "chars": np.full(CHAR_BUCKETS, 1e-6, np.float32)}
@@ -212,8 +214,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         other = rng.integers(0, len(text), len(worst) // 2)  # some more windows of clean documents
         chosen = rng.permutation(np.concatenate([worst, other[labels[text[other]] == 0]]))
         rate = 0.01 * (1 - epoch / epochs)
-        for k in range(0, len(chosen), BATCH):
-            part = chosen[k: k + BATCH]
+        batch = max(LEAST_BATCH, len(chosen) // STEPS)
+        for k in range(0, len(chosen), batch):
+            part = chosen[k: k + batch]
             code, mask = _window_codes(f, first[part], n[part])
             words, local = np.unique(code, return_inverse=True)
             sub = _some(f, words)
