@@ -11,10 +11,10 @@ distance are confirmed on the full shingle sets.
 With 20 components, 4 chunks and distance 11, a pair of similarity 0.8 exactly lies outside
 the distance with probability 1e-4, one of 0.85 with 1e-5.
 
-A key's members are first compared with the smallest member only (pre-aggregated, a row per
-member). Only keys whose members are still in different components are then compared member by
-member, in blocks of ``BLOCK`` members, and only pairs of different components that pass the
-distance are kept. So a large group of near copies costs a row per member, and no link is lost.
+A key's members are compared with its smallest member only (pre-aggregated, a row per member).
+The members of keys that are then still in different components are compared by an exact
+filter: shared shingles among the rarest of either set, and enough left after them. So a large
+group of near copies costs rows per member, not per pair, and no link is lost.
 
 Cases: null, empty or blank texts have the empty set and are linked with nothing (also not
 with each other); a text of fewer words than a shingle is one shingle; repeated rows belong to
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from detlens.llm import common as C
 from detlens.session import materialize
@@ -42,8 +43,6 @@ COMPONENTS = 20
 CHUNKS = 4
 DISTANCE = 11
 SIMILARITY = (80, 100)
-#: Members of a key that are compared member by member in one task.
-BLOCK = 256
 _WIDTH = COMPONENTS // CHUNKS
 _OUT = DISTANCE // CHUNKS
 _SIGNATURE = [f"s{i}" for i in range(COMPONENTS // 4)]
@@ -136,36 +135,41 @@ def _distance(a: str, b: str) -> Column:
         for s in _SIGNATURE for j in range(4)))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int,
-             similarity: tuple[int, int]) -> DataFrame:
-    """Those pairs (a, b) of classes whose full sets are similar enough."""
-    wanted, n = C.counted(
-        pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        .join(classes.select("node", "set_id", F.col("first_key").alias("key")), "node"), "wanted")
+def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(node, full): the sorted shingle hashes of the classes named by ``nodes``, read again from one text each."""
+    wanted, n = C.counted(nodes.join(classes.select("node", "set_id", F.col("first_key").alias("key")), "node"), "wanted")
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     texts = rows.join(C.maybe_broadcast(wanted, n), rows["doc"].eqNullSafe(wanted["key"])).select("node", "set_id", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = batch.column(1).to_pylist()
-            nodes, sets = [], []
             for a, _, t in C.slices(batch.column(2)):
                 hashes, first, count = shingle_sets(t, shingle)
+                at, sets = [], []
                 for i in range(len(t)):
                     s = np.unique(hashes[first[i]: first[i] + count[i]])
                     if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want[a + i]:
-                        nodes.append(batch.column(0)[a + i].as_py())
-                        sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "full"])
+                        at.append(a + i)
+                        sets.append(s.view(np.int64))
+                offsets = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
+                values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(values))],
+                    names=["node", "full"])
+
+    return materialize(texts.mapInArrow(full, "node long, full array<long>").groupBy("node").agg(F.first("full").alias("full")), "sets")
 
-    sets = materialize(texts.mapInArrow(full, "node long, full binary").groupBy("node").agg(F.max("full").alias("full")), "sets")
+
+def _confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Those pairs (a, b) of classes whose full sets are similar enough."""
     num, den = similarity
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                p, q = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -175,6 +179,30 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
             .select("a", "b", "fa", "fb").mapInArrow(exact, "a long, b long"))
 
 
+def _apart(live: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of ``live`` (node, label, full) with different labels that may be similar enough.
+
+    Shingles are put in order, rare ones first. Similar sets share a shingle among their first
+    |s| - ceil(similarity |s|) + 1 ones, and no more than what follows it can be shared
+    after their first common one. Both are exact conditions, so no pair is lost, while a set
+    with too many shingles of its own meets nobody.
+    """
+    num, den = similarity
+    tokens = live.select("node", "label", F.size("full").alias("n"), F.explode("full").alias("h"))
+    common = tokens.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1")
+    node = Window.partitionBy("node")
+    ranked = (tokens.join(common, "h")
+              .withColumn("p", F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("d", "h")) - 1)
+              .filter(den * F.col("p") <= (den - num) * F.col("n"))
+              .select("h", "node", "label", "n", "p"))
+    ranked = materialize(ranked, "prefixes")
+    x, y = ranked.alias("x"), ranked.alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    return (x.join(y, [F.col("x.h") == F.col("y.h"), F.col("x.label") != F.col("y.label"), F.col("x.node") < F.col("y.node"),
+                       (num + den) * rest >= num * (F.col("x.n") + F.col("y.n"))])
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
                     similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every document; ``similarity`` is a fraction."""
@@ -193,27 +221,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     near = materialize(star.join(sig.alias("x"), F.col("a") == F.col("x.node"))
                        .join(sig.alias("y"), F.col("b") == F.col("y.node"))
                        .filter(_distance("x", "y") <= DISTANCE).select("a", "b"), "pairs")
-    links = materialize(_confirm(near, classes, docs, key, text, shingle, similarity), "links")
+    sets = _full_sets(members.select("node").distinct(), classes, docs, key, text, shingle)
+    links = materialize(_confirm(near, sets, similarity), "links")
     labels = C.components(links)
 
-    # Keys whose members are still apart: compare their members with each other, in blocks.
+    # The members of keys that are still apart: whether any other pair of them is linked.
     placed = members.join(labels, "node", "left").select("k", "node", F.coalesce("component", "node").alias("label"))
     apart = (placed.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
              .filter("lo < hi and n > 2"))
-    apart, n_apart = C.counted(apart.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "apart")
+    apart, n_apart = C.counted(apart.select("k"), "apart")
     if n_apart:
-        live = materialize(
-            placed.join(C.maybe_broadcast(apart, n_apart, 16), "k").join(sig, "node")
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "live")
-        x = live.withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumnRenamed("block", "i").alias("x")
-        y = live.withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).withColumnRenamed("block", "j").alias("y")
-        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("k", "i", "j")]
-        crossed = (x.join(y, [*same, F.col("x.label") != F.col("y.label"),
-                              (F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node")),
-                              _distance("x", "y") <= DISTANCE])
-                   .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-        more = materialize(crossed.join(near, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(_confirm(more, classes, docs, key, text, shingle, similarity)), "links")
+        live = placed.join(C.maybe_broadcast(apart, n_apart, 16), "k").select("node", "label").distinct()
+        live = materialize(live.join(sets, "node"), "live")
+        more = materialize(_apart(live, similarity), "pairs")
+        links = materialize(links.unionByName(_confirm(more, sets, similarity)), "links")
         labels = C.components(links)
 
     named = materialize(
