@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from detlens.llm import contamination, hostrules, mixing, neardup, tokens, toxicity, warc
+from detlens.llm import contamination, hostrules, linechunks, mixing, neardup, tokens, toxicity, warc
 
 QUERIES = {
+    "op10_line_chunks": linechunks.op10_line_chunks,
     "op6_toxicity_bigru": toxicity.op6_toxicity_bigru,
     "op8_huffman_tokens": tokens.op8_huffman_tokens,
     "op5_mix_sources": mixing.op5_mix_sources,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op10_line_chunks": linechunks.OP10_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op3_warc_salvage": warc.OP3_SQL,
     "op7_host_rules": hostrules.OP7_SQL,
