@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from detlens.session import materialize
 
@@ -169,6 +170,16 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out, out.count()
 
 
+def with_key(rows: DataFrame, others: str) -> StructType:
+    """The schema of ``rows``' key and the other columns; the key may be a struct of any columns."""
+    return StructType([rows.schema["key"], *StructType.fromDDL(others)])
+
+
+def packed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(key, text): whole rows as key, so that an operator's result can be unpacked to the rows."""
+    return rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("key"), F.col(text).alias("text"))
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """Ask for a broadcast only if the counted rows are few enough; else Spark shuffles both sides."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

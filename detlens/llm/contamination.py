@@ -180,7 +180,6 @@ _FOUND = "n_words long, hits array<int>, items array<string>"
 def _pass(found: DataFrame, spark: SparkSession, patterns: Patterns) -> DataFrame:
     """One pass: add one block's hits (word ranges lo, hi, lo, hi, ...) and items to each document."""
     shared = spark.sparkContext.broadcast(patterns)
-    key_type = found.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = shared.value
@@ -215,7 +214,7 @@ def _pass(found: DataFrame, spark: SparkSession, patterns: Patterns) -> DataFram
                 names=["key", "text", "n_words", "hits", "items"])
 
     return (found.select("key", "text", "hits", "items")
-            .mapInArrow(run, f"key {key_type}, text string, {_FOUND}"))
+            .mapInArrow(run, C.with_key(found, f"text string, {_FOUND}")))
 
 
 def _merge(spans: np.ndarray) -> list[int]:

@@ -95,8 +95,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", host: Colu
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *sums],
                     names=["key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, host string, {_SUMS}")
+    return rows.mapInArrow(run, C.with_key(rows, f"host string, {_SUMS}"))
 
 
 def base_failed() -> Column:

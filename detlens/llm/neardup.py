@@ -109,8 +109,7 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                     names=["key", "set_id", "n_shingles", *_SIGNATURE])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, set_id binary, n_shingles long, " + ", ".join(f"{s} long" for s in _SIGNATURE))
+    return rows.mapInArrow(run, C.with_key(rows, "set_id binary, n_shingles long, " + ", ".join(f"{s} long" for s in _SIGNATURE)))
 
 
 def _component(i: int) -> Column:

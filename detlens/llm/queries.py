@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from detlens.llm import contamination, hostrules, linechunks, mixing, neardup, passages, tokens, toxicity, warc
+from detlens.llm import contamination, hostrules, linechunks, mixing, neardup, passages, secrets, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_secret_forest": secrets.op1_secret_forest,
     "op2_chained_passages": passages.op2_chained_passages,
     "op10_line_chunks": linechunks.op10_line_chunks,
     "op6_toxicity_bigru": toxicity.op6_toxicity_bigru,

@@ -1,16 +1,62 @@
-"""The pipeline's stages: each applies one operator's decisions to the documents it is given."""
+"""The pipeline's stages: each applies one operator's decisions to the documents it is given.
+
+All but the last return the columns of their input. Decisions that need nothing but the row are
+made on whole rows packed as a key, without a join; extra columns of any name pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from detlens.llm import common as C
-from detlens.llm import contamination
+from detlens.llm import contamination, mixing, neardup, tokens, toxicity
+from detlens.session import shared_path
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that score as toxic."""
+    network = toxicity.fit(docs, C.table(spark, sf_dir, "labels"))
+    return toxicity.score(C.packed(docs), network).filter(F.col("score") < toxicity.THRESHOLD).select("key.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates, and one row of each key.
+
+    Rows without a key can't be told apart by it; of those with equal texts one stays."""
+    kept = (neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("_key"),
+                       F.xxhash64("text").alias("_text"))
+    rows = rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = rows.withColumn("_unnamed", F.when(F.col("_key").isNull(), F.col("_text")))
+    nth = F.row_number().over(Window.partitionBy("_key", "_unnamed").orderBy("_text"))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the benchmark contaminates; clean ones stay as they are."""
-    found = contamination.decide(contamination.scan(docs, C.table(spark, sf_dir, "benchmark")))
-    bad = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """Drop the documents that the benchmark contaminates."""
+    found = contamination.scan(C.packed(docs), C.table(spark, sf_dir, "benchmark"), key="key")
+    return contamination.decide(found).filter(~F.col("contaminated")).select("key.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take every document as often as the mix does. Rows of equal key, source and text share their
+    copies evenly."""
+    mixed = mixing.mix(docs, mixing.quality_weights(C.table(spark, sf_dir, "labels")))
+    keys = {"doc_id": "_key", "source": "_source", "text_hash": "_text"}
+    copies = (mixed.groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+              .filter("_copies > 0").withColumnsRenamed(keys))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("k"),
+                       F.col("source").alias("s"), F.xxhash64("text").alias("t"))
+    on = F.col("k").eqNullSafe(F.col("_key")) & F.col("s").eqNullSafe(F.col("_source")) & (F.col("t") == F.col("_text"))
+    nth = F.row_number().over(Window.partitionBy("k", "s", "t").orderBy("t"))
+    times = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long")
+    taken = rows.join(copies, on).withColumn("times", times).filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token-id files and return what they hold: (doc_id, start, n_tokens, ids_crc32)."""
+    manifest = tokens.write(docs, shared_path(spark, "tokens"), tokens.tokenizer_path())
+    return tokens.read(manifest, manifest.count(), ids=False)

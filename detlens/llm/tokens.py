@@ -189,11 +189,10 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 def tokenise(docs: DataFrame, path: str, key: str, text: str, end_id: int = END_ID) -> DataFrame:
     """(key, part, before, n, ids): documents in order within ``part``, ``before`` ids earlier in it."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     rows = (rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
             .sortWithinPartitions("part", *order).select("key", "part", "text"))
-    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before, part = encoder(path), 0, None
@@ -213,7 +212,7 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end_id: int = END_
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(starts, pa.int64()),
                      pa.array(n), pa.array(data, pa.binary())], names=["key", "part", "before", "n", "ids"])
 
-    return rows.mapInArrow(run, f"key {kind}, part int, before long, n long, ids binary")
+    return rows.mapInArrow(run, "key long, part int, before long, n long, ids binary")
 
 
 # --- codes ----------------------------------------------------------------------------------

@@ -316,7 +316,7 @@ def score(rows: DataFrame, network: Network, key: str = "key", text: str = "text
                     [batch.column(0).slice(a, b - a), pa.array(shared.value.scores(texts))], names=["key", "score"])
 
     rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, C.with_key(rows, "score double"))
 
 
 def op6_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
