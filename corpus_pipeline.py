@@ -9,7 +9,11 @@ from detlens.session import materialize
 
 #: (name, function(spark, docs, sf_dir) -> DataFrame). All but the last return the columns of documents.
 STAGES = [
-    ("decontaminate", stages.decontaminate),
+    ("toxicity", stages.reject_toxic),
+    ("near_duplicates", stages.drop_near_duplicates),
+    ("decontamination", stages.decontaminate),
+    ("mixing", stages.mix_sources),
+    ("tokens", stages.write_tokens),
 ]
 
 #: Learned scores and tokenisation have no SQL form; tests hold the stages against brute force.
