@@ -39,6 +39,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
+_VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 _CHUNK = 1 << 18
 _HEADER_BYTES = 1 << 16
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, URLs
@@ -167,8 +168,10 @@ class _Source:
 def _parse(data: bytes, offset: int) -> tuple[dict, bytes, int]:
     """(headers, block, end) of the record at ``offset`` of ``data``."""
     head_end = data.find(b"\r\n\r\n", offset, offset + _HEADER_BYTES)
-    if not data.startswith(VERSION, offset) or head_end < 0:
-        raise Damaged("no version line" if head_end >= 0 else "headers do not end")
+    if head_end < 0:
+        raise Damaged("headers do not end")
+    if not _VERSION_LINE.match(data, offset):
+        raise Damaged("no version line")
     head = {}
     for line in data[offset:head_end].split(b"\r\n")[1:]:
         name, colon, value = line.decode("utf-8", "replace").partition(":")
