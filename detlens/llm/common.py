@@ -22,7 +22,7 @@ from detlens.session import materialize
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 2 << 20
 #: A side of a join is broadcast only if its counted rows times its row width stay below this.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 
 #: Word bytes of ``[^\x20\x09-\x0D]+``.
 SPACED = np.ones(256, dtype=bool)

@@ -13,8 +13,9 @@ the distance with probability 1e-4, one of 0.85 with 1e-5.
 
 A key's members are compared with its smallest member only (pre-aggregated, a row per member).
 The members of keys that are then still in different components are compared by an exact
-filter: shared shingles among the rarest of either set, and enough left after them. So a large
-group of near copies costs rows per member, not per pair, and no link is lost.
+filter: a shared shingle among the rarest of either set, and enough left after it; first with
+the most typical set of each such shingle, then, where components still differ, with each other.
+So a large group of near copies costs rows per member, not per pair, and no link is lost.
 
 Cases: null, empty or blank texts have the empty set and are linked with nothing (also not
 with each other); a text of fewer words than a shingle is one shingle; repeated rows belong to
@@ -178,27 +179,48 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
             .select("a", "b", "fa", "fb").mapInArrow(exact, "a long, b long"))
 
 
-def _apart(live: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of ``live`` (node, label, full) with different labels that may be similar enough.
+def _prefixes(live: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(h, node, n, p): the first shingles of the sets in ``live`` (node, full), rare ones first; a
+    shingle h at place p of n is listed if a similar set may have it as the first one in common.
 
-    Shingles are put in order, rare ones first. Similar sets share a shingle among their first
-    |s| - ceil(similarity |s|) + 1 ones, and no more than what follows it can be shared
-    after their first common one. Both are exact conditions, so no pair is lost, while a set
-    with too many shingles of its own meets nobody.
+    Similar sets share a shingle among their first |s| - ceil(similarity |s|) + 1 ones in any common
+    order. Shingles that only one set has come first and need no row.
     """
     num, den = similarity
-    tokens = live.select("node", "label", F.size("full").alias("n"), F.explode("full").alias("h"))
+    tokens = live.select("node", F.size("full").alias("n"), F.explode("full").alias("h"))
     common = tokens.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1")
     node = Window.partitionBy("node")
-    ranked = (tokens.join(common, "h")
-              .withColumn("p", F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("d", "h")) - 1)
-              .filter(den * F.col("p") <= (den - num) * F.col("n"))
-              .select("h", "node", "label", "n", "p"))
-    ranked = materialize(ranked, "prefixes")
-    x, y = ranked.alias("x"), ranked.alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    return (tokens.join(common, "h")
+            .withColumn("p", F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("d", "h")) - 1)
+            .filter(den * F.col("p") <= (den - num) * F.col("n")).select("h", "node", "n", "p"))
+
+
+def _apart(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The prefixes with labels, of those shingles whose sets have different labels."""
+    named = (prefixes.join(labels, "node", "left").select("h", "node", "n", "p", F.coalesce("component", "node").alias("label")))
+    mixed = (named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("p", "node", "n", "label")).alias("c"))
+             .filter("lo < hi").select("h", "c"))
+    return materialize(named.join(materialize(mixed, "mixed"), "h"), "apart")
+
+
+def _possible(nx: Column, px: Column, ny: Column, py: Column, similarity: tuple[int, int]) -> Column:
+    """Whether enough is left from the common shingle on for sets of nx and ny shingles to be similar."""
+    num, den = similarity
+    return (num + den) * F.least(nx - px, ny - py) >= num * (nx + ny)
+
+
+def _to_center(apart: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Each set with the set that has the least of its own before a shared shingle: a row per prefix shingle."""
+    pairs = apart.filter((F.col("label") != F.col("c.label")) & _possible(F.col("n"), F.col("p"), F.col("c.n"), F.col("c.p"), similarity))
+    return pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
+def _to_each_other(apart: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """All possible pairs of different labels."""
+    rows = apart.select("h", "node", "n", "p", "label")
+    x, y = rows.alias("x"), rows.alias("y")
     return (x.join(y, [F.col("x.h") == F.col("y.h"), F.col("x.label") != F.col("y.label"), F.col("x.node") < F.col("y.node"),
-                       (num + den) * rest >= num * (F.col("x.n") + F.col("y.n"))])
+                       _possible(F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p"), similarity)])
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
@@ -230,11 +252,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
              .filter("lo < hi and n > 2"))
     apart, n_apart = C.counted(apart.select("k"), "apart")
     if n_apart:
-        live = placed.join(C.maybe_broadcast(apart, n_apart, 16), "k").select("node", "label").distinct()
-        live = materialize(live.join(sets, "node"), "live")
-        more = materialize(_apart(live, similarity), "pairs")
-        links = materialize(links.unionByName(_confirm(more, sets, similarity)), "links")
-        labels = C.components(links)
+        live = placed.join(C.maybe_broadcast(apart, n_apart, 16), "k").select("node").distinct()
+        prefixes = materialize(_prefixes(live.join(sets, "node"), similarity), "prefixes")
+        tried = near
+        for choose in (_to_center, _to_each_other):
+            more = materialize(choose(_apart(prefixes, labels), similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+            links = materialize(links.unionByName(_confirm(more, sets, similarity)), "links")
+            labels = C.components(links)
+            tried = tried.unionByName(more)
 
     named = materialize(
         classes.select("node", "set_id", "first_key").join(labels, "node", "left")
