@@ -133,8 +133,8 @@ class Vocabulary:
         for (_, b, a), y in zip(rows, labels, strict=True):
             for i, w in enumerate(_neighbours(b, a)):
                 (bad if y else good)[i][w] += 1
-        share = float(np.mean(labels)) if len(labels) else 0.5
-        self.odds = [{w: math.log((bad[i][w] + share) / (good[i][w] + 1 - share)) - math.log((share + 1e-9) / (1 - share + 1e-9))
+        share = min(max(float(np.mean(labels)), 0.01), 0.99) if len(labels) else 0.5
+        self.odds = [{w: math.log((bad[i][w] + share) / (good[i][w] + 1 - share)) - math.log(share / (1 - share))
                       for w in bad[i].keys() | good[i].keys() if bad[i][w] + good[i][w] >= 2} for i in range(2)]
 
     def features(self, candidate: str, before: str, after: str) -> list[float]:
