@@ -63,6 +63,11 @@ EVAL_EXTRA_NO = ("n", "false", "0")
 TRUTH_COLUMNS = ("grammatical", "grammatical_gt")
 PREDICTION_COLUMNS = ("grammatical_pred", "prediction")
 
+# Messages for files whose columns can't be found.
+ERROR_NO_TRUTH = "Could not detect ground-truth column"
+ERROR_NO_PREDICTION = "Could not detect prediction column"
+ERROR_EMPTY_FILE = "No columns to parse from file"
+
 BENCHMARK_COLUMNS = ("sentence", "noun_phrase", "grammatical", "corrected")
 PREDICTION_TABLE_COLUMNS = BENCHMARK_COLUMNS + ("grammatical_pred", "correction")
 

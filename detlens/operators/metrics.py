@@ -131,7 +131,7 @@ def prf_accuracy(counts: DataFrame) -> DataFrame:
     return out.withColumn("accuracy", ratio(F.col("tp") + F.col("tn"), "n_total"))
 
 
-def metric_across_files(per_file: DataFrame, metric: str = "f1", group=(), digits: int = 6) -> DataFrame:
+def metric_across_files(per_file: DataFrame, metric: str = "f1", group=()) -> DataFrame:
     """Count, used (defined values), mean and population std of one metric."""
     if metric not in ("f1", "accuracy"):
         raise ValueError("metric must be 'f1' or 'accuracy'")
@@ -140,6 +140,6 @@ def metric_across_files(per_file: DataFrame, metric: str = "f1", group=(), digit
         F.count(F.lit(1)).alias("count"),
         F.count(m).alias("used"),
         F.lit(metric).alias("metric"),
-        F.round(F.avg(m), digits).alias("mean"),
-        F.round(F.stddev_pop(m), digits).alias("std"),
+        F.avg(m).alias("mean"),
+        F.stddev_pop(m).alias("std"),
     )

@@ -16,7 +16,6 @@ from detlens.functions.text import artifact_key, basename, col, pattern
 from detlens.operators.metrics import confusion_from_classes, prf_accuracy
 
 RUN_KEYS = ("script", "model", "input")
-DIGITS = 6
 
 
 def prediction_lines(runs: DataFrame) -> DataFrame:
@@ -32,13 +31,13 @@ def per_run_metrics(runs: DataFrame, case_sensitive: bool = False) -> DataFrame:
     return prf_accuracy(confusion_from_classes(lines, group=(*RUN_KEYS, "run")))
 
 
-def across_runs(per_run: DataFrame, digits: int = DIGITS) -> DataFrame:
+def across_runs(per_run: DataFrame) -> DataFrame:
     """Per (script, model, input): runs, mean/std of each metric (undefined values
     dropped; one value -> std 0), and the sum and mean of each confusion count."""
     aggs = [F.count(F.lit(1)).alias("runs")]
     for m in K.METRIC_NAMES:
-        aggs.append(F.round(F.avg(m), digits).alias(f"{m}_mean"))
-        aggs.append(F.round(F.stddev_pop(m), digits).alias(f"{m}_std"))
+        aggs.append(F.avg(m).alias(f"{m}_mean"))
+        aggs.append(F.stddev_pop(m).alias(f"{m}_std"))
     for c in K.CONFUSION_NAMES:
         aggs.append(F.sum(c).alias(f"{c}_sum"))
     out = per_run.groupBy(*RUN_KEYS).agg(*aggs)
@@ -47,17 +46,13 @@ def across_runs(per_run: DataFrame, digits: int = DIGITS) -> DataFrame:
     return out
 
 
-def run_table(per_run: DataFrame, digits: int = DIGITS) -> DataFrame:
+def run_table(per_run: DataFrame) -> DataFrame:
     """Per script, one row per run then a ``mean`` and a ``std`` row (run is a string)."""
     metrics = list(K.METRIC_NAMES)
     rows = per_run.select("script", F.col("run").cast("string").alias("run"), *metrics)
-    mean = per_run.groupBy("script").agg(
-        F.lit("mean").alias("run"), *[F.round(F.avg(m), digits).alias(m) for m in metrics]
-    )
-    std = per_run.groupBy("script").agg(
-        F.lit("std").alias("run"), *[F.round(F.stddev_pop(m), digits).alias(m) for m in metrics]
-    )
-    return rows.unionByName(mean).unionByName(std)
+    row = lambda name, f: F.struct(F.lit(name).alias("run"), *[f(m).alias(m) for m in metrics])
+    both = per_run.groupBy("script").agg(F.array(row("mean", F.avg), row("std", F.stddev_pop)).alias("both"))
+    return rows.unionByName(both.select("script", F.inline("both")))
 
 
 def summary_entries(across: DataFrame) -> DataFrame:

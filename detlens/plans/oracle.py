@@ -12,7 +12,6 @@ import re
 
 from detlens import constants as K
 from detlens.functions import prompts as PR
-from detlens.operators.windows import SEGMENT
 
 
 def lit(s: str) -> str:
@@ -148,6 +147,8 @@ def reply_case(np_col: str, alt_col: str) -> str:
 V_DOCS_EN = r"""docs_en AS (
   SELECT doc_id, source, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents WHERE lang = 'en')"""
 
+V_DOCS_ALL = V_DOCS_EN.replace(" WHERE lang = 'en'", "")
+
 V_TOK = """tok AS (
   SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(i - 1 AS BIGINT) AS pos,
          ws[i] AS w, ws[i - 1] AS p, ws[i + 1] AS n
@@ -304,8 +305,8 @@ def with_views(*views: str) -> str:
 
 PRED_VIEWS = (V_DOCS_EN, V_NP_ITEMS, V_BENCH, V_REPLIES, V_PARSED, V_PREDS)
 RUN_VIEWS = PRED_VIEWS + (V_RUNS, V_LINES, V_PER_RUN)
-LM_VIEWS = (V_DOCS_EN, V_TOK, V_LM)
-DETECT_VIEWS = LM_VIEWS + (V_DETECT,)
+LM_VIEWS = (V_DOCS_ALL, V_TOK, V_LM)
+DETECT_VIEWS = (V_DOCS_EN, V_TOK, V_LM, V_DETECT)
 
 BENCH_METRICS_SELECT = f"""
 agg AS (
@@ -425,7 +426,7 @@ def sql_clean_text():
 
 RAW_WORDS = r"""raw_words AS (
   SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT) AS pos, unnest(ws) AS raw
-  FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS ws FROM documents WHERE lang = 'en'))"""
+  FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS ws FROM documents))"""
 
 
 def sql_label(fn, name="label"):
@@ -490,7 +491,7 @@ def sql_batch_score():
 
 
 def sql_neighbour_words():
-    return with_views(V_DOCS_EN, V_TOK) + "SELECT doc_id, pos, w, p, n FROM tok"
+    return with_views(V_DOCS_ALL, V_TOK) + "SELECT doc_id, pos, w, p, n FROM tok"
 
 
 def sql_next_word_model():
@@ -530,7 +531,7 @@ def sql_extra_determiner():
 
 
 def annotate_ctes() -> str:
-    """CTE list (after the detector views) ending in ``ann(doc_id, seg, sentence, output)``."""
+    """CTE list (after the detector views) ending in ``ann(doc_id, sentence, output)``."""
     marker = " || ".join(
         [f"CASE WHEN missing_{d} THEN {lit(f' [MISSING DET:{d}] ')} ELSE '' END" for d in K.DETERMINERS]
         + ["CASE WHEN extra THEN ' [EXTRA DET:' || w || '] ' ELSE '' END"]
@@ -538,16 +539,16 @@ def annotate_ctes() -> str:
     return f""",
 marks AS (SELECT doc_id, pos, {marker} AS marker FROM flags2),
 ann AS (
-  SELECT t.doc_id AS doc_id, t.pos // {SEGMENT} AS seg,
+  SELECT t.doc_id AS doc_id,
          string_agg(' ' || t.w, '' ORDER BY t.pos) AS sentence,
          string_agg(' ' || t.w || coalesce(m.marker, ''), '' ORDER BY t.pos) AS output
   FROM tok t LEFT JOIN marks m ON t.doc_id = m.doc_id AND t.pos = m.pos
-  GROUP BY t.doc_id, t.pos // {SEGMENT})
+  GROUP BY t.doc_id)
 """
 
 
 def sql_annotate():
-    return "WITH " + ",\n".join(DETECT_VIEWS) + annotate_ctes() + "SELECT doc_id, seg, sentence, output FROM ann"
+    return "WITH " + ",\n".join(DETECT_VIEWS) + annotate_ctes() + "SELECT doc_id, sentence, output FROM ann"
 
 
 def sql_parse_pos_reply():
@@ -557,10 +558,18 @@ def sql_parse_pos_reply():
 
 
 def sql_parse_iob_reply():
-    # Each segment is tagged as its own sentence: the first word of a segment has no
-    # previous word.
-    prev = f"CASE WHEN pos % {SEGMENT} = 0 THEN NULL ELSE p END"
-    return with_views(V_DOCS_EN, V_TOK) + f"SELECT doc_id, pos, w, {iob_tag(pos_tag('w'), pos_tag(prev))} AS iob FROM tok"
+    return with_views(V_DOCS_EN, V_TOK) + f"SELECT doc_id, pos, w, {iob_tag(pos_tag('w'), pos_tag('p'))} AS iob FROM tok"
+
+
+def sql_detect_with_tags():
+    # A broken-off reply has tags for the first half of the words; the others never trigger.
+    has_n = "(doc_id % 5 <> 0 OR pos + 1 < n_words // 2)"
+    parts = [
+        f"SELECT doc_id, pos, w, n, {lit(d)} AS det, m_ppl1 / 100.0 AS ppl1, m_ppl2 / 100.0 AS ppl2 FROM flags2 "
+        f"JOIN (SELECT doc_id, pos, n_words FROM tok) USING (doc_id, pos) WHERE missing_{d} AND {has_n}"
+        for d in K.DETERMINERS
+    ]
+    return with_views(*DETECT_VIEWS) + "\nUNION ALL\n".join(parts)
 
 
 REGISTRY = {
@@ -598,6 +607,7 @@ REGISTRY = {
     "missing_determiner": sql_missing_determiner,
     "extra_determiner": sql_extra_determiner,
     "annotate": sql_annotate,
+    "detect_with_tags": sql_detect_with_tags,
     "parse_pos_reply": sql_parse_pos_reply,
     "parse_iob_reply": sql_parse_iob_reply,
 }

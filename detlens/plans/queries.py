@@ -19,10 +19,10 @@ from detlens.operators import detect as D
 from detlens.operators import lm as LM
 from detlens.operators import metrics as M
 from detlens.operators import runs as RU
-from detlens.operators.scoring import TemplateScorer, batch_score
+from detlens.operators.scoring import TaggingScorer, TemplateScorer, batch_score
 from detlens.operators.tagging import iob_tag, pos_tag
 from detlens.plans import views as V
-from detlens.session import shared_path
+from detlens.session import materialize, shared_path
 from detlens.sinks import writers as SNK
 from detlens.sources import files as SRC
 from detlens.streaming import run_metrics as ST
@@ -72,23 +72,32 @@ def confusion_regex(spark, sf_dir):
     return M.confusion_from_classes(cls, group=("script", "run"))
 
 
+def _rounded(df: DataFrame, columns) -> DataFrame:
+    """Six digits: two engines add doubles up in different orders."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def per_run_metrics(spark, sf_dir):
     return RU.per_run_metrics(V.runs(_words(spark, sf_dir)))
 
 
 def metric_across_files(spark, sf_dir):
     """Per script directory, aggregate of the per-run F1."""
-    return M.metric_across_files(per_run_metrics(spark, sf_dir), "f1", group=("script",))
+    out = M.metric_across_files(per_run_metrics(spark, sf_dir), "f1", group=("script",))
+    return _rounded(out, ["mean", "std"])
 
 
 def metric_across_runs(spark, sf_dir):
     """Per script, mean/std of every metric and sum/mean of every count over runs."""
-    return RU.across_runs(per_run_metrics(spark, sf_dir))
+    out = RU.across_runs(per_run_metrics(spark, sf_dir))
+    return _rounded(out, [f"{m}_{x}" for m in K.METRIC_NAMES for x in ("mean", "std")])
 
 
 def run_table_with_summary(spark, sf_dir):
     """Per-run metric rows followed by the mean and std rows."""
-    return RU.run_table(per_run_metrics(spark, sf_dir))
+    out = RU.run_table(per_run_metrics(spark, sf_dir))
+    summary = F.col("run").isin("mean", "std")
+    return out.withColumns({m: F.when(summary, F.round(m, 6)).otherwise(F.col(m)) for m in K.METRIC_NAMES})
 
 
 # ---------------------------------------------------------------------------
@@ -100,7 +109,7 @@ def clean_text(spark, sf_dir):
 
 
 def _raw_words(spark, sf_dir):
-    docs = V.spread(V.table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "text"))
+    docs = V.spread(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(V.WORD_PATTERN), 0)).alias("pos", "raw")).withColumn(
         "pos", F.col("pos").cast("bigint")
     )
@@ -194,29 +203,35 @@ def batch_score_query(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Language-model, tagging and detector operators
 # ---------------------------------------------------------------------------
+def _all_words(spark, sf_dir):
+    return V.document_words(spark, sf_dir)
+
+
 def neighbour_words(spark, sf_dir):
-    return V.tokens_ctx(_words(spark, sf_dir)).select("doc_id", "pos", "w", "p", "n")
+    return V.tokens_ctx(_all_words(spark, sf_dir)).select("doc_id", "pos", "w", "p", "n")
 
 
 def next_word_model(spark, sf_dir):
     """L1: every observed bigram with its count, c(w) and add-one log-probability."""
-    ctx = V.tokens_ctx(_words(spark, sf_dir))
-    bigrams = LM.bigram_counts(LM.transitions(ctx))
-    vocab = LM.vocabulary_size(ctx.select("w"))
-    totals = bigrams.groupBy("w").agg(F.sum("c").alias("cw"))
-    return bigrams.join(totals, "w").select(
+    grouped = LM.grouped_counts(V.tokens_ctx(_all_words(spark, sf_dir)))
+    vocab = LM.vocabulary_size(grouped)
+    return LM.with_totals(LM.transitions(grouped)).select(
         "w", "n", "c", "cw", LM.log_prob("c", "cw", vocab).alias("lp")
     )
 
 
 def topk_next_word(spark, sf_dir):
-    ctx = V.tokens_ctx(_words(spark, sf_dir))
+    ctx = V.tokens_ctx(_all_words(spark, sf_dir))
     return LM.top_next_words(LM.bigram_counts(LM.transitions(ctx)), K.TOP_NEXT_WORDS)
 
 
 def perplexity(spark, sf_dir):
-    model = D.BigramModel(V.tokens_ctx(_words(spark, sf_dir)))
-    return LM.doc_perplexity(model.scored_transitions())
+    """L2: only counts, totals and vocabulary, none of the detector's features."""
+    ctx = V.tokens_ctx(_all_words(spark, sf_dir))
+    grouped = LM.grouped_counts(ctx)
+    pairs = LM.with_totals(LM.transitions(grouped)).select(
+        "w", "n", LM.log_prob("c", "cw", LM.vocabulary_size(grouped)).alias("lp"))
+    return LM.doc_perplexity(LM.transitions(ctx).join(materialize(pairs, "log-probs"), ["w", "n"]))
 
 
 def pos_tags(spark, sf_dir):
@@ -245,43 +260,49 @@ def annotate(spark, sf_dir):
     return D.annotate(words, decided)
 
 
+def detect_with_tags(spark, sf_dir):
+    """The detector with tags from a model's replies: POS prompt, scoring seam, reply parse, and
+    a join of the parsed tags to the tokens. Every fifth reply breaks off half-way."""
+    words = V.english_words(spark, sf_dir)
+    prompts = words.select("doc_id", PR.pos_prompt(F.array_join("words", " ")).alias("prompt"))
+    replies = batch_score(prompts, TaggingScorer)
+    tags = replies.select("doc_id", F.posexplode(R.parse_pos_reply("reply")).alias("pos", "t")).select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), "t.word", "t.tag")
+    model = D.BigramModel(V.tokens_ctx(words))
+    model.trans = LM.transitions(D.with_tags(model.ctx, materialize(tags, "tags")))
+    return D.missing_determiners(D.determiner_flags(model))
+
+
 def _tag_replies(words, kind: str):
-    """Replies in 'word/tag' form built per segment from the rule tagger (varied
+    """Replies in 'word/tag' form built per document from the rule tagger (varied
     formatting: newlines, a leading underscore, upper-case tags, a preface)."""
-    segs = D.word_segments(words)
 
     def piece(x, i):
-        tag = pos_tag(x) if kind == "pos" else F.lit("")
         if kind == "pos":
+            tag = pos_tag(x)
             shown = F.when(i % 7 == 0, F.concat(F.lit("_"), F.upper(tag))).otherwise(tag)
         else:
-            prev = F.when(i > 0, F.get(F.col("seg_words"), i - 1))
-            shown = iob_tag(pos_tag(x), pos_tag(prev))
+            shown = iob_tag(pos_tag(x), pos_tag(F.when(i > 0, F.get("words", i - 1))))
         sep = F.when(i % 5 == 0, F.lit("\n")).otherwise(F.lit(" "))
         return F.concat(sep, x, F.lit("/"), shown)
 
-    body = F.array_join(F.transform("seg_words", piece), "")
+    body = F.array_join(F.transform("words", piece), "")
     if kind == "iob":
         body = F.concat(F.lit(K.IOB_PREFACE), body)
-    return segs.select("doc_id", "seg", body.alias("reply"))
+    return words.filter(F.size("words") > 0).select("doc_id", body.alias("reply"))
+
+
+def _parsed(replies, parse, tag: str):
+    out = replies.select("doc_id", F.posexplode(parse("reply")).alias("pos", "wt"))
+    return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("wt.word").alias("w"), F.col("wt.tag").alias(tag))
 
 
 def parse_pos_reply(spark, sf_dir):
-    rep = _tag_replies(_words(spark, sf_dir), "pos")
-    out = rep.select("doc_id", "seg", F.posexplode(R.parse_pos_reply("reply")).alias("j", "wt"))
-    return out.select(
-        "doc_id", (F.col("seg") * D.SEGMENT + F.col("j")).cast("bigint").alias("pos"),
-        F.col("wt.word").alias("w"), F.col("wt.tag").alias("tag"),
-    )
+    return _parsed(_tag_replies(_words(spark, sf_dir), "pos"), R.parse_pos_reply, "tag")
 
 
 def parse_iob_reply(spark, sf_dir):
-    rep = _tag_replies(_words(spark, sf_dir), "iob")
-    out = rep.select("doc_id", "seg", F.posexplode(R.parse_iob_reply("reply")).alias("j", "wt"))
-    return out.select(
-        "doc_id", (F.col("seg") * D.SEGMENT + F.col("j")).cast("bigint").alias("pos"),
-        F.col("wt.word").alias("w"), F.col("wt.tag").alias("iob"),
-    )
+    return _parsed(_tag_replies(_words(spark, sf_dir), "iob"), R.parse_iob_reply, "iob")
 
 
 # ---------------------------------------------------------------------------
@@ -304,11 +325,16 @@ def scan_csv_quoted(spark, sf_dir):
 
 
 def scan_csv_encoding(spark, sf_dir):
-    """Documents written in three charsets, read back with per-file detection."""
+    """Documents written in three charsets and two column orders, read back with a decision per
+    file. A text that is a missing-value string reads as NULL."""
     docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 50 == 7, F.lit("N/A")).when(
+        F.col("doc_id") % 50 == 8, F.concat(F.lit("\u0081"), F.col("text"))).otherwise(F.col("text")))
     root = shared_path(spark, "documents-charsets")
     for k, enc in enumerate(("utf-8", "cp1252", "latin1")):
-        SNK.write_csv(docs.filter(F.col("doc_id") % 3 == k), f"{root}/{enc}", encoding=enc, emptyValue='""')
+        part = docs.filter(F.col("doc_id") % 3 == k)
+        part = part.withColumn("text", F.replace("text", F.lit("\u0081"), F.lit(""))) if enc == "cp1252" else part
+        SNK.write_csv(part.select("text", "doc_id") if enc == "cp1252" else part, f"{root}/{enc}", encoding=enc, emptyValue='""')
     return SRC.read_csv_any_encoding(spark, root).select("doc_id", "text")
 
 
@@ -321,20 +347,30 @@ def tokenize_lines(spark, sf_dir):
     return toks.select(F.md5("value").alias("line_id"), "pos", "w")
 
 
+def _with_odd_files(spark, root, script):
+    """Beside the predictions, a file of the header alone and one of a blank line."""
+    header = ",".join(K.PREDICTION_TABLE_COLUMNS)
+    for name, text in (("header", [(header,)]), ("empty", [("",)])):
+        path = f"{root}/script={script}/artifact={name}{K.PREDICTIONS_SUFFIX}/run=0"
+        spark.createDataFrame(text, "value string").coalesce(1).write.text(path)
+
+
 def dir_scan_confusion(spark, sf_dir):
     """S6 + S5 + P17 + A3 + A4: predictions tables written per (script, artifact, run),
-    scanned recursively by glob, raw lines classified, metrics per file."""
+    scanned recursively by glob, raw lines classified, metrics per file. A file without data
+    lines counts zero."""
     root = shared_path(spark, "predictions")
     SNK.write_predictions(V.runs(_words(spark, sf_dir)), root)
+    _with_odd_files(spark, root, "odd")
     lines = SRC.scan_prediction_dir(spark, root).withColumn("cls", LN.classify_line("value"))
-    per_file = M.prf_accuracy(M.confusion_from_classes(lines, group=("file",)))
-    return per_file.select(_relative_file().alias("file"), "tp", "fp", "fn", "tn", "n_total",
-                           "precision", "recall", "f1", "accuracy")
+    counts = SRC.every_file(SRC.prediction_files(spark, root), M.confusion_from_classes(lines, group=("file",)))
+    return M.prf_accuracy(counts).select(_relative_file().alias("file"), "tp", "fp", "fn", "tn", "n_total",
+                                         "precision", "recall", "f1", "accuracy")
 
 
 def detect_columns(spark, sf_dir):
-    """S7 + A2 + U2: files with three header variants; counts where the columns are
-    found, an error row where they are not."""
+    """S7 + A2 + U2: files with three header variants, one of a header alone and one of a blank line; counts
+    where the columns are found, an error row where they are not."""
     runs = V.runs(_words(spark, sf_dir))
     root = shared_path(spark, "mixed-headers")
     variant = F.col("run") % 3
@@ -346,11 +382,14 @@ def detect_columns(spark, sf_dir):
                   root, mode="append", partition_by=("script", "run"))
     SNK.write_csv(runs.filter(variant == 2).select(*base, "grammatical"), root, mode="append",
                   partition_by=("script", "run"))
-    rows, errors = SRC.read_label_columns(spark, root)
-    good = M.confusion_columns(rows.withColumn("file", SRC.logical_file("path")), "truth", "pred", group=("file",))
-    bad = errors.select(SRC.logical_file("path").alias("file"), "error").distinct()
-    out = good.unionByName(bad, allowMissingColumns=True)
-    return out.select(_relative_file().alias("file"), "tp", "fp", "fn", "tn", "n_total", "error")
+    _with_odd_files(spark, root, "odd")
+    files, rows = SRC.read_label_columns(spark, root)
+    files = files.select(SRC.logical_file("path").alias("file"), "error").distinct()
+    counts = M.confusion_columns(rows.withColumn("file", SRC.logical_file("path")), "truth", "pred", group=("file",))
+    names = ("tp", "fp", "fn", "tn", "n_total")
+    out = files.join(counts, "file", "left").orderBy("file")
+    zero = [F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in names]
+    return out.select(_relative_file().alias("file"), *zero, "error")
 
 
 def sink_roundtrip(spark, sf_dir):
@@ -466,6 +505,7 @@ REGISTRY = {
     "missing_determiner": missing_determiner,
     "extra_determiner": extra_determiner,
     "annotate": annotate,
+    "detect_with_tags": detect_with_tags,
     "parse_pos_reply": parse_pos_reply,
     "parse_iob_reply": parse_iob_reply,
     "scan_csv_quoted": scan_csv_quoted,

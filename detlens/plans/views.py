@@ -27,26 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores.
+#: Session setting: partitions that document scans are dealt into. 0, the default, leaves the number of
+#: splits to the reader; a local run over a file of one row group wants a few per core.
+SCAN_PARTITIONS = "detlens.scan.partitions"
 
-    A large input already has many splits (files x row groups) and is left alone; a
-    small one (e.g. a single row group) would otherwise run its per-document work in
-    one task. The shuffle this adds is only ever taken on such small inputs.
-    """
-    spark = df.sparkSession
-    target = max(1, spark.sparkContext.defaultParallelism * factor)
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan into ``detlens.scan.partitions`` partitions, if that is set."""
+    n = int(df.sparkSession.conf.get(SCAN_PARTITIONS, "0"))
+    return df.repartition(n) if n else df
+
+
+def document_words(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """(doc_id, source, words): documents of one or all languages as lower-cased letter runs."""
+    docs = table(spark, sf_dir, "documents")
+    if lang:
+        docs = docs.filter(F.col("lang") == lang)
+    return spread(docs.select("doc_id", "source", "text")).select(
+        "doc_id", "source", F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), 0).alias("words"))
 
 
 def english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, words): English documents, lower-cased letter runs."""
-    docs = spread(table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "source", "text"))
-    return docs.select(
-        "doc_id", "source", F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), 0).alias("words")
-    )
+    """The English documents: determiner items and the detector are about English."""
+    return document_words(spark, sf_dir, "en")
 
 
 def tokens(words: DataFrame) -> DataFrame:

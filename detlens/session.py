@@ -56,28 +56,33 @@ def _local_heap() -> str:
 
 ADAPTIVE_BROADCAST_BYTES = str(32 * 1024 * 1024)
 
+#: Settings the operators depend on, used where the caller has set none. Broadcasts are decided
+#: by AQE from the measured size of a finished shuffle stage (below 32 MB), not from plan-time
+#: estimates: the size of an exploded token table is estimated from its compressed source and
+#: can be off by orders of magnitude. Larger sides stay sort-merge joins, which AQE can split.
+DEFAULTS = {
+    "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": ADAPTIVE_BROADCAST_BYTES,
+}
 
-def configure(spark: SparkSession) -> None:
-    """Session settings the operators depend on (safe to call repeatedly).
 
-    Broadcasts are decided only by AQE from the measured size of a finished shuffle
-    stage (below 32 MB), never from plan-time estimates: the size of an exploded token
-    table is estimated from its compressed source and can be off by orders of
-    magnitude. Larger sides stay sort-merge joins, with AQE's skew-join splitting.
-    """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", ADAPTIVE_BROADCAST_BYTES)
+def configure(spark: SparkSession) -> None:
+    """Set what the operators depend on, but nothing that the caller has set (safe to call repeatedly)."""
+    given = dict(spark.conf.getAll)
+    for key, value in DEFAULTS.items():
+        if key not in given:
+            spark.conf.set(key, value)
     ensure_checkpoint_dir(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local runs and
-    tests) a fresh folder is created.
+    Uses ``spark.checkpoint.dir``. Where it is unset, a local master (tests, notebooks) gets a
+    fresh folder; a cluster gets an error, as its executors would not share a local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -85,6 +90,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master or ""
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         configured = tempfile.mkdtemp(prefix="detlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

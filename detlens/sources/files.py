@@ -2,35 +2,73 @@
 sentence-per-line text (S4), raw prediction lines (S5), recursive directory scans
 (S6) and per-file column detection (S7).
 
-Decisions that depend on file contents (charset, header) are made per line / per
-file on the executors; only the resulting small (file -> choice) map reaches the
-driver, the same metadata a file listing already carries.
+Decisions that depend on file contents (charset, header) are made per line / per file on the
+executors. The files are then sorted into groups (one per charset and header) by copying their
+raw lines into one folder per group, so that no list of paths passes a single row or the
+driver; the driver sees the groups only.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import re
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from detlens import constants as K
 from detlens.functions.lines import is_data_line
 from detlens.functions.text import WS
+from detlens.session import materialize, shared_path
 
 CSV_READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
 # Bytes cp1252 leaves undefined; a file holding one is read as latin1.
 CP1252_UNDEFINED_HEX = ("81", "8D", "8F", "90", "9D")
 
 
-def read_csv(spark: SparkSession, paths, encoding: str | None = None, **options) -> DataFrame:
-    """Header, RFC-4180 quotes and embedded newlines; every column a string."""
+def missing_to_null(df: DataFrame) -> DataFrame:
+    """Strings that the reference's CSV reader takes as missing become NULL."""
+    return df.select(*[F.when(F.col(f"`{c}`").isin(*K.PANDAS_NA_STRINGS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
+                       if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def read_csv(spark: SparkSession, paths, encoding: str | None = None, missing: bool = True, **options) -> DataFrame:
+    """Header, RFC-4180 quotes and embedded newlines; every column a string, missing-value
+    strings NULL (``missing=False`` keeps them)."""
     reader = spark.read.options(**CSV_READ_OPTIONS)
     if encoding:
         reader = reader.option("encoding", encoding)
     if options:
         reader = reader.options(**options)
-    return reader.csv(paths if isinstance(paths, (list, tuple)) else [paths])
+    df = reader.csv(paths if isinstance(paths, (list, tuple)) else [paths])
+    return missing_to_null(df) if missing else df
+
+
+def file_list(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(path) of every file under ``root``, empty ones included. Contents are not read.
+
+    Spark's readers leave out files of length 0, so these are added from the folder's listing."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    empty = []
+    while found.hasNext():
+        f = found.next()
+        path = f.getPath()
+        hidden = any(part.startswith(("_", ".")) for part in path.toString()[len(root.rstrip("/")):].split("/"))
+        if f.getLen() == 0 and not hidden and (not glob or fnmatch.fnmatch(path.getName(), glob)):
+            empty.append((path.toString(),))
+    try:
+        filled = reader.load(root).select("path")
+    except AnalysisException:  # nothing but empty files
+        return spark.createDataFrame(empty, "path string")
+    return filled.unionByName(spark.createDataFrame(empty, "path string"))
 
 
 def file_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -43,29 +81,83 @@ def file_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 
 def detect_encodings(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(path, encoding) per file: utf-8 when every line is valid UTF-8, otherwise
-    cp1252, or latin1 when a byte cp1252 leaves undefined occurs."""
+    cp1252, or latin1 when a byte that cp1252 leaves undefined occurs anywhere in the file."""
     lines = file_lines(spark, root, glob)
-    bad = ~F.is_valid_utf8("value")
     undefined = F.hex("value").rlike("^(?:..)*?(?:" + "|".join(CP1252_UNDEFINED_HEX) + ")")
     per_file = lines.groupBy("path").agg(
-        F.max(bad.cast("int")).alias("_bad"), F.max((bad & undefined).cast("int")).alias("_undef")
-    )
-    return per_file.select(
-        "path",
-        F.when(F.col("_bad") == 0, F.lit("utf-8"))
-        .when(F.col("_undef") == 1, F.lit("latin1"))
-        .otherwise(F.lit("cp1252")).alias("encoding"),
-    )
+        F.max((~F.is_valid_utf8("value")).cast("int")).alias("_bad"), F.max(undefined.cast("int")).alias("_undef"))
+    chosen = (F.when(F.coalesce("_bad", F.lit(0)) == 0, F.lit("utf-8"))
+              .when(F.col("_undef") == 1, F.lit("latin1")).otherwise(F.lit("cp1252")))
+    return file_list(spark, root, glob).join(per_file, "path", "left").select("path", chosen.alias("encoding"))
+
+
+def file_headers(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(path, header): the first line of every file, read where the file's first split is
+    (the row order within a split follows the file); NULL for an empty file."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    lines = (reader.text(root)
+             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+             .filter("start = 0").withColumn("_rid", F.monotonically_increasing_id()))
+    first = lines.groupBy("path").agg(F.min_by("value", "_rid").alias("header"))
+    return file_list(spark, root, glob).join(first, "path", "left")
+
+
+def _grouped_reads(spark: SparkSession, files: DataFrame, by: list[str]):
+    """For every distinct ``by``: (its values, the CSV rows of its files with their ``path``).
+
+    The raw files of each group are gathered into one folder, one file each, by a map from files to
+    copies; the driver sees one row per group.
+    """
+    home = shared_path(spark, "file-groups")
+    tagged = materialize(files.withColumn("_group", F.sha1(F.to_json(F.struct(*by)))), "file-choices")
+
+    def copy(batches):
+        import hashlib
+
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        def at(path):
+            if re.match("[a-z0-9+.-]+:", path, re.I):
+                uri = unquote(path) if path.startswith("file:") else path
+                return pafs.LocalFileSystem(), re.sub("^file:/*", "/", uri) if uri.startswith("file:") else None
+            return pafs.LocalFileSystem(), path
+
+        for batch in batches:
+            names = []
+            for path, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (src, a), (dst, b) = at(path), at(home)
+                if a is None or b is None:
+                    (src, a), (dst, b) = pafs.FileSystem.from_uri(path), pafs.FileSystem.from_uri(home)
+                name = hashlib.sha1(path.encode()).hexdigest() + ".csv"
+                dst.create_dir(f"{b}/{group}", recursive=True)
+                pafs.copy_files(a, f"{b}/{group}/{name}", source_filesystem=src, destination_filesystem=dst)
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string())],
+                                             names=["path", "_group", "_name"])
+
+    copied = materialize(tagged.select("path", "_group").mapInArrow(copy, "path string, _group string, _name string"), "file-copies")
+    for g in tagged.groupBy("_group").agg(*[F.first(c).alias(c) for c in by]).collect():
+        rows = spark.read.options(**CSV_READ_OPTIONS)
+        if "encoding" in by:
+            rows = rows.option("encoding", g["encoding"])
+        rows = rows.csv(f"{home}/{g['_group']}")
+        named = rows.withColumn("_name", F.col("_metadata.file_name"))
+        yield g, missing_to_null(named.join(copied.filter(F.col("_group") == g["_group"]).select("_name", "path"), "_name").drop("_name"))
 
 
 def read_csv_any_encoding(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Read every CSV under ``root`` with the charset chosen for it."""
-    choice = detect_encodings(spark, root, glob).groupBy("encoding").agg(F.collect_list("path").alias("paths"))
+    """Every CSV under ``root`` with the charset chosen for it, grouped by charset and header, so that
+    files with other columns or another order of them keep theirs. No files: no columns, no rows."""
+    files = (detect_encodings(spark, root, glob).join(file_headers(spark, root, glob), "path")
+             .filter(F.col("header").isNotNull()))
     out = None
-    for row in choice.collect():  # at most three groups of paths
-        part = read_csv(spark, row["paths"], encoding=row["encoding"])
+    for _, part in _grouped_reads(spark, files, ["encoding", "header"]):
+        part = part.drop("path")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    return out if out is not None else spark.createDataFrame([], T.StructType([]))
 
 
 def tokenize_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -87,60 +179,52 @@ def logical_file(path_col: str = "path") -> F.Column:
 def scan_prediction_dir(spark: SparkSession, root: str, pattern: str = K.DEFAULT_PREDICTIONS_GLOB) -> DataFrame:
     """S5 + S6: raw data lines of every file under ``root`` whose path has a component
     matching ``pattern``; blank and header lines dropped. (file, value)."""
-    rx = fnmatch.translate(pattern)
+    lines = file_lines(spark, root).withColumn("file", logical_file("path"))
+    return lines.filter(F.col("file").rlike(_component(pattern)) & is_data_line("value")).select("file", "value")
+
+
+def _component(glob: str) -> str:
+    rx = fnmatch.translate(glob)
     rx = rx[rx.index(":") + 1:rx.rindex(")")] if rx.startswith("(?s:") else rx
-    lines = file_lines(spark, root)
-    lines = lines.withColumn("file", logical_file("path"))
-    component = rf"(?s)(?:\A|/){rx}(?:/|\z)"
-    return lines.filter(F.col("file").rlike(component) & is_data_line("value")).select("file", "value")
-
-
-def file_headers(spark: SparkSession, root: str) -> DataFrame:
-    """(path, header): the first line of every file under ``root``, read where the
-    file's first split is; the row order within a split follows the file."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").text(root)
-        .select("value", F.col("_metadata.file_path").alias("path"),
-                F.col("_metadata.file_block_start").alias("start"))
-        .filter(F.col("start") == 0)
-        .withColumn("_rid", F.monotonically_increasing_id())
-    )
-    return lines.groupBy("path").agg(F.min_by("value", "_rid").alias("header"))
-
-
-def detect_columns(header_cols, truth: str | None = None, pred: str | None = None):
-    """(truth column, prediction column) or an error message."""
-    if truth and truth in header_cols:
-        g = truth
-    else:
-        g = next((c for c in K.TRUTH_COLUMNS if c in header_cols), None)
-        if g is None:
-            return None, None, "Could not detect ground-truth column"
-    if pred and pred in header_cols:
-        p = pred
-    else:
-        p = next((c for c in K.PREDICTION_COLUMNS if c in header_cols), None)
-        if p is None:
-            return None, None, "Could not detect prediction column"
-    return g, p, None
+    return rf"(?s)(?:\A|/){rx}(?:/|\z)"
+
+
+def prediction_files(spark: SparkSession, root: str, pattern: str = K.DEFAULT_PREDICTIONS_GLOB) -> DataFrame:
+    """(file) for every file that ``scan_prediction_dir`` looks at, with or without data lines."""
+    files = file_list(spark, root).select(logical_file("path").alias("file"))
+    return files.filter(F.col("file").rlike(_component(pattern))).distinct()
+
+
+def every_file(files: DataFrame, counts: DataFrame, columns=("tp", "fp", "fn", "tn", "n_total")) -> DataFrame:
+    """The counts of each file, zero where it has none, in the order of the paths."""
+    out = files.join(counts, "file", "left")
+    return out.select("file", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in columns]).orderBy("file")
+
+
+def find_label_columns(header: Column, truth: str | None = None, pred: str | None = None) -> dict[str, Column]:
+    """The truth and prediction columns that a header line has, and an error if it lacks one.
+
+    A role's candidates are the caller's name and the usual ones, in this order; the first that the
+    header has is taken."""
+    names = F.transform(F.split(F.regexp_replace(header, "^\ufeff", ""), ","), lambda c: F.trim(F.trim(c), F.lit('"')))
+
+    def pick(given: str | None, usual) -> Column:
+        wanted = F.array(*[F.lit(c) for c in ([given] if given else []) + list(usual)])
+        return F.get(F.filter(wanted, lambda c: F.array_contains(names, c)), 0)
+
+    t, p = pick(truth, K.TRUTH_COLUMNS), pick(pred, K.PREDICTION_COLUMNS)
+    error = (F.when(F.coalesce(F.trim(header), F.lit("")) == "", F.lit(K.ERROR_EMPTY_FILE)).when(t.isNull(), F.lit(K.ERROR_NO_TRUTH))
+             .when(p.isNull(), F.lit(K.ERROR_NO_PREDICTION)))
+    return {"truth_column": t, "pred_column": p, "error": error}
 
 
 def read_label_columns(spark: SparkSession, root: str, truth: str | None = None, pred: str | None = None):
-    """Every CSV under ``root`` as (path, truth, pred); files are grouped by header
-    so each group is one CSV read. Returns (rows, errors) DataFrames."""
-    headers = file_headers(spark, root).groupBy("header").agg(F.collect_list("path").alias("paths"))
-    rows, errors = None, []
-    for h in headers.collect():  # one entry per distinct header, not per row
-        cols = [c.strip().strip('"') for c in h["header"].split(",")]
-        g, p, err = detect_columns(cols, truth, pred)
-        if err:
-            errors.extend((path, err) for path in h["paths"])
-            continue
-        part = read_csv(spark, h["paths"]).select(
-            F.col("_metadata.file_path").alias("path"), F.col(g).alias("truth"), F.col(p).alias("pred")
-        )
-        rows = part if rows is None else rows.unionByName(part)
-    err_df = spark.createDataFrame(errors, "path string, error string")
-    if rows is None:
-        rows = spark.createDataFrame([], "path string, truth string, pred string")
-    return rows, err_df
+    """Every CSV under ``root``: (files, rows) with files (path, error) complete, in rows
+    (path, truth, pred) those of the files without an error."""
+    found = file_headers(spark, root)
+    files = materialize(found.select("path", "header", *[c.alias(k) for k, c in
+                        find_label_columns(F.col("header"), truth, pred).items()]), "label-columns")
+    rows = spark.createDataFrame([], "path string, truth string, pred string")
+    for g, part in _grouped_reads(spark, files.filter(F.col("error").isNull()), ["header", "truth_column", "pred_column"]):
+        rows = rows.unionByName(part.select("path", F.col(f"`{g['truth_column']}`").alias("truth"), F.col(f"`{g['pred_column']}`").alias("pred")))
+    return files.select("path", "error"), rows
