@@ -132,9 +132,14 @@ def parse_pos_reply(reply) -> Column:
     )
 
 
+def clean_iob_reply(reply) -> Column:
+    """Newline -> space, boilerplate preface removed."""
+    return F.regexp_replace(F.regexp_replace(col(reply), "\n", " "), K.IOB_PREFACE, "")
+
+
 def parse_iob_reply(reply) -> Column:
-    """Newline -> space, boilerplate preface removed, then 'word/tag' pieces."""
-    text = F.regexp_replace(F.regexp_replace(col(reply), "\n", " "), K.IOB_PREFACE, "")
+    """The cleaned reply's 'word/tag' pieces."""
+    text = clean_iob_reply(reply)
     return F.transform(
         _word_tag_pieces(text),
         lambda x: F.struct(

@@ -7,7 +7,9 @@ of aggregation are two ``groupBy``s, both partial + final.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from detlens import constants as K
@@ -69,7 +71,7 @@ def summary_entries(across: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # S8 launch-script manifest, J1 join to the predictions
 # ---------------------------------------------------------------------------
-DEFAULT_PROGRAM = r"[^\s\\]*\.py"
+ANY_PROGRAM = r"[^\s\\]*\.py"
 
 
 def _arg(cmd: Column, name: str) -> Column:
@@ -77,19 +79,29 @@ def _arg(cmd: Column, name: str) -> Column:
     return F.when(cmd.rlike(pat), F.regexp_extract(cmd, pat, 1))
 
 
-def parse_launch_scripts(scripts: DataFrame, program: str = DEFAULT_PROGRAM) -> DataFrame:
+def read_launch_scripts(spark: SparkSession, paths: str) -> DataFrame:
+    """(script, text) of the launch scripts that the glob ``paths`` names, read whole. A table
+    partition ``script=name`` stands for the file of that name."""
+    files = spark.read.text(paths, wholetext=True)
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*\z", "")
+    return files.select(F.regexp_replace(F.regexp_extract(path, r"([^/]*)\z", 1), r"\Ascript=", "").alias("script"),
+                        F.col("value").alias("text"))
+
+
+def parse_launch_scripts(scripts: DataFrame, program: str | None = None) -> DataFrame:
     """(script, text) -> (script, model, input, error).
 
-    Backslash-continued lines are joined, the python command running ``program`` is
-    isolated (else the whole text is searched), then --model / --input are read in
-    either ``--x v`` or ``--x=v`` form, bare or quoted; input keeps its base name.
+    Backslash-continued lines are joined, the python command running ``program`` (a file name) is
+    isolated, by default the first one that has a ``--model`` (else the whole text is searched),
+    then --model / --input are read in either ``--x v`` or ``--x=v`` form, bare or quoted; input
+    keeps its base name.
     """
     merged = F.regexp_replace(col("text"), K.PAT_CONTINUATION, " ")
-    command = pattern(K.PAT_COMMAND, program=program)
-    staged = scripts.select(
-        "script",
-        F.when(merged.rlike(command), F.regexp_extract(merged, command, 0)).otherwise(merged).alias("_cmd"),
-    )
+    name = ANY_PROGRAM if program is None else r"(?:[^\s\\]*/)?" + re.escape(program)
+    commands = F.regexp_extract_all(merged, F.lit(pattern(K.PAT_COMMAND, program=name)), 0)
+    if program is None:
+        commands = F.filter(commands, lambda c: c.contains("--model"))
+    staged = scripts.select("script", F.coalesce(F.get(commands, 0), merged).alias("_cmd"))
     staged = staged.select("script", _arg(F.col("_cmd"), "model").alias("_m"), _arg(F.col("_cmd"), "input").alias("_i"))
 
     def unquote(name):
@@ -125,7 +137,7 @@ def launch_scripts(sources: DataFrame) -> DataFrame:
     sep = F.when(variant == 1, F.lit("=")).otherwise(F.lit(" "))
     text = F.concat(
         F.lit("#!/bin/bash\n#SBATCH --job-name="), s,
-        F.lit("\n#SBATCH --time=24:00:00\nmodule load python\ncd $HOME/project\npython3 score.py \\\n    --model "),
+        F.lit("\n#SBATCH --time=24:00:00\nmodule load python\ncd $HOME/project\npython setup.py install --input=none\npython3 score.py \\\n    --model "),
         model_arg,
         F.lit(" \\\n    --input"), sep, F.lit("data/"), s, F.lit(".csv \\\n    --seed $SEED\necho done\n"),
     )

@@ -9,7 +9,8 @@ from __future__ import annotations
 from detlens import constants as K
 from detlens.plans.oracle import (
     DETECT_VIEWS, PRED_VIEWS, RUN_VIEWS, V_BENCH, V_DOCS_EN, V_NP_ITEMS, V_RUNS,
-    BENCH_METRICS_SELECT, _confusion_cols_sql, annotate_ctes, f1, label_eval, lit, ratio, with_views,
+    V_TOK, BENCH_METRICS_SELECT, _confusion_cols_sql, annotate_ctes, f1, iob_tag, label_eval, lit, pos_tag, ratio,
+    sql_metric_across_runs, with_views,
 )
 
 ARTIFACT = (
@@ -96,8 +97,23 @@ def sql_metrics_json():
 
 
 def sql_run_archive():
-    return with_views(*PRED_VIEWS, V_RUNS) + """
-SELECT script, model, input, run, CAST(count(*) AS BIGINT) AS n_rows FROM runs GROUP BY script, model, input, run"""
+    return with_views(*RUN_VIEWS) + f"""
+SELECT script, model, input, run, n_rows, f1, run AS seed, {ARTIFACT} AS predictions_file
+FROM per_run JOIN (SELECT script, model, input, run, CAST(count(*) AS BIGINT) AS n_rows FROM runs GROUP BY ALL)
+  USING (script, model, input, run)"""
+
+
+def sql_results_json():
+    return with_views(*RUN_VIEWS) + """
+SELECT script || '/' || run AS path, n_total AS n, f1 AS value FROM per_run
+UNION ALL SELECT 'aggregate f1', CAST(count(f1) AS BIGINT), round(avg(f1), 6) FROM per_run"""
+
+
+def sql_report_tags():
+    return with_views(V_DOCS_EN, V_TOK) + f"""
+SELECT unnest(['Sentence:' || s, 'Tags:' || t]) AS line FROM (
+  SELECT string_agg(w, ' ' ORDER BY pos) AS s, string_agg(w || '/' || iob, ' ' ORDER BY pos) AS t
+  FROM (SELECT doc_id, pos, w, {iob_tag(pos_tag('w'), pos_tag('p'))} AS iob FROM tok) GROUP BY doc_id)"""
 
 
 def sql_report_text():
@@ -116,7 +132,8 @@ def _launch_text() -> str:
     sep = f"(CASE WHEN {variant} = 1 THEN '=' ELSE ' ' END)"
     return (
         "'#!/bin/bash'" + nl + "'#SBATCH --job-name=' || source" + nl + "'#SBATCH --time=24:00:00'" + nl
-        + "'module load python'" + nl + "'cd $HOME/project'" + nl + r"'python3 score.py \'" + nl
+        + "'module load python'" + nl + "'cd $HOME/project'" + nl
+        + "'python setup.py install --input=none'" + nl + r"'python3 score.py \'" + nl
         + "'    --model ' || " + model_arg + r" || ' \'" + nl
         + "'    --input' || " + sep + r" || 'data/' || source || '.csv \'" + nl
         + "'    --seed $SEED'" + nl + "'echo done'" + " || chr(10)"
@@ -124,7 +141,7 @@ def _launch_text() -> str:
 
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"']+)""".replace("'", "''")
-_COMMAND = r"(?:^|\n)\s*(?:python3?|/usr/bin/python[0-9.]*)\s+[^\\\n]*[^\s\\]*\.py[^\n]*"
+_COMMAND = r"(?:^|\n)\s*(?:python3?|/usr/bin/python[0-9.]*)\s+[^\\\n]*[^\s\\]*\.py[^\n]*--model[^\n]*"
 
 
 def _arg(name: str) -> str:
@@ -180,8 +197,11 @@ REGISTRY = {
     "sink_roundtrip": sql_sink_roundtrip,
     "metrics_kv": sql_metrics_kv,
     "metrics_json": sql_metrics_json,
+    "results_json": sql_results_json,
+    "summary_json": sql_metric_across_runs,
     "run_archive": sql_run_archive,
     "report_text": sql_report_text,
+    "report_tags": sql_report_tags,
     "launch_manifest": sql_launch_manifest,
     "manifest_join": sql_manifest_join,
     "stream_run_metrics": sql_stream_run_metrics,

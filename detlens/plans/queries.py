@@ -19,7 +19,7 @@ from detlens.operators import detect as D
 from detlens.operators import lm as LM
 from detlens.operators import metrics as M
 from detlens.operators import runs as RU
-from detlens.operators.scoring import TaggingScorer, TemplateScorer, batch_score
+from detlens.operators.scoring import ChunkingScorer, TaggingScorer, TemplateScorer, batch_score
 from detlens.operators.tagging import iob_tag, pos_tag
 from detlens.plans import views as V
 from detlens.session import materialize, shared_path
@@ -422,15 +422,37 @@ def metrics_json(spark, sf_dir):
     return back.select("script", "run", "confusion.*", "metrics.*")
 
 
+def results_json(spark, sf_dir):
+    """K4: the results document of all runs' files, files and aggregate, written and read back."""
+    per_run = per_run_metrics(spark, sf_dir).withColumn("file", F.concat_ws("/", "script", "run"))
+    path = shared_path(spark, "results-json")
+    SNK.write_results(per_run, path)
+    files = spark.read.json(f"{path}/files").select("path", F.col("confusion.n_total").alias("n"), F.col("metrics.f1").alias("value"))
+    total = spark.read.json(f"{path}/aggregate").select(
+        F.concat(F.lit("aggregate "), F.col("metric")).alias("path"), F.col("used").alias("n"), F.round("mean", 6).alias("value"))
+    return files.unionByName(total)
+
+
+def summary_json(spark, sf_dir):
+    """A10: the summary of all launch scripts as JSON lines, read back and flattened."""
+    path = shared_path(spark, "summary-json")
+    SNK.write_summary(RU.across_runs(per_run_metrics(spark, sf_dir)), path)
+    back = spark.read.json(path)
+    parts = [F.round(f"metrics_{x}.{m}", 6).alias(f"{m}_{x}") for m in K.METRIC_NAMES for x in ("mean", "std")]
+    parts += [F.col(f"confusion_{x}.{c}").cast(t).alias(f"{c}_{x}") for c in K.CONFUSION_NAMES for x, t in (("sum", "bigint"), ("mean", "double"))]
+    return back.select("script", "model", "input", "runs", *parts)
+
+
 def run_archive(spark, sf_dir):
-    """K5: the per-run archive (partitioned by session/script/model/input/run), read
-    back through partition discovery and counted per partition."""
+    """K5: predictions, metrics and run info, partitioned by session/script/model/input/run, read
+    back through partition discovery: every run's rows, F1, seed and artefact name."""
     path = shared_path(spark, "run-archive")
     SNK.write_run_archive(V.runs(_words(spark, sf_dir)), path, session="s0", mode="overwrite")
-    back = spark.read.options(**SRC.CSV_READ_OPTIONS).csv(path)
-    return back.groupBy("script", "model", "input", F.col("run").cast("bigint").alias("run")).agg(
-        F.count(F.lit(1)).alias("n_rows")
-    )
+    key = ["script", "model", "input", "run"]
+    rows = spark.read.options(**SRC.CSV_READ_OPTIONS).csv(f"{path}/predictions").groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
+    scores = spark.read.json(f"{path}/metrics").select(*key, "metrics.f1")
+    info = spark.read.json(f"{path}/run_info").select(*key, "run_info.seed", "run_info.predictions_file")
+    return rows.join(scores, key).join(info, key).withColumn("run", F.col("run").cast("bigint"))
 
 
 def report_text(spark, sf_dir):
@@ -443,9 +465,22 @@ def report_text(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+def report_tags(spark, sf_dir):
+    """K6 + P14 + P16: IOB prompts through the scoring seam, replies cleaned, the tag report written
+    and read back line by line."""
+    words = _words(spark, sf_dir).filter(F.size("words") > 0).select("doc_id", F.array_join("words", " ").alias("sentence"))
+    replies = batch_score(words.withColumn("prompt", PR.iob_prompt("sentence")), ChunkingScorer)
+    path = shared_path(spark, "tag-report")
+    SNK.write_report(replies.select("doc_id", "sentence", R.clean_iob_reply("reply").alias("output")), path, tags=True)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def _launch_scripts(spark, sf_dir):
+    """A launch script for every source, written as files and read back by glob."""
     sources = V.table(spark, sf_dir, "documents").select("source").distinct()
-    return RU.launch_scripts(sources)
+    path = shared_path(spark, "launch-scripts")
+    RU.launch_scripts(sources).repartition("script").write.partitionBy("script").text(path)
+    return RU.read_launch_scripts(spark, f"{path}/script=*.sh")
 
 
 def launch_manifest(spark, sf_dir):
@@ -463,8 +498,8 @@ def stream_run_metrics(spark, sf_dir):
     """ST1: prediction files consumed by a file stream; per-run counts as state."""
     runs = V.runs(_words(spark, sf_dir))
     source = shared_path(spark, "arriving-predictions")
-    SNK.write_csv(runs.select(*K.PREDICTION_TABLE_COLUMNS, "script", "run"), source,
-                  partition_by=("script", "run"), emptyValue='""')
+    SNK.write_csv(runs.select(*K.PREDICTION_TABLE_COLUMNS, *ST.RUN_KEY), source,
+                  partition_by=ST.RUN_KEY, emptyValue='""')
     out = ST.stream_once(spark, source)
     return out.select("script", F.col("run").cast("bigint").alias("run"), "tp", "fp", "fn", "tn", "n_total",
                       "precision", "recall", "f1", "accuracy")
@@ -516,8 +551,11 @@ REGISTRY = {
     "sink_roundtrip": sink_roundtrip,
     "metrics_kv": metrics_kv,
     "metrics_json": metrics_json,
+    "results_json": results_json,
+    "summary_json": summary_json,
     "run_archive": run_archive,
     "report_text": report_text,
+    "report_tags": report_tags,
     "launch_manifest": launch_manifest,
     "manifest_join": manifest_join,
     "stream_run_metrics": stream_run_metrics,

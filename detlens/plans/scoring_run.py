@@ -4,8 +4,8 @@ prepare (P1, P6) -> score through the seam (L0) -> parse replies (P7-P11) -> wri
 predictions table (K2) -> metrics (A1, A4-A6) with the elapsed seconds (A9) -> write
 metrics as CSV and key=value text (K3).
 
-The model is called exactly once per row: predictions are written first, and metrics
-are computed from the written table, not from the scoring plan.
+The model is called exactly once per row: the scored table (with the raw fix and the caller's
+key columns) is written first; the six-column predictions file and the metrics are made from it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from detlens.functions.replies import predict
 from detlens.operators.metrics import benchmark_metrics
 from detlens.operators.scoring import batch_score
 from detlens.sinks.writers import write_csv, write_metrics
-from detlens.sources.files import read_csv
 
 
 def run_scoring(bench: DataFrame, factory: Callable[[], object], out_dir: str, model: str, input_name: str,
@@ -39,10 +38,10 @@ def run_scoring(bench: DataFrame, factory: Callable[[], object], out_dir: str, m
         "grammatical_pred", "correction", "fix_pred",
     )
     started = time.perf_counter()
-    write_csv(preds, f"{out_dir}/predictions", emptyValue='""')
+    preds.write.mode("overwrite").parquet(f"{out_dir}/scored")
     elapsed = time.perf_counter() - started
-    written = read_csv(spark, f"{out_dir}/predictions")
-    written = written.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in written.columns])
+    written = spark.read.parquet(f"{out_dir}/scored")
+    write_csv(written.select(*K.PREDICTION_TABLE_COLUMNS), f"{out_dir}/predictions", emptyValue='""')
     metrics = benchmark_metrics(written).select(
         F.lit(model).alias("model"), F.lit(input_name).alias("input"),
         F.lit(round(elapsed, 3)).alias("elapsed_sec"), "*",

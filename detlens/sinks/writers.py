@@ -7,12 +7,14 @@ file (model + input) become partition values, so one table holds every artifact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detlens import constants as K
 from detlens.functions.lines import CSV_LINE_OPTIONS
 from detlens.functions.text import artifact_key
+from detlens.operators.metrics import metric_across_files
+from detlens.operators.runs import per_run_metrics, summary_entries
 
 QUOTE_ALL_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"',
                      "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -77,25 +79,66 @@ def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> Non
     lines.orderBy("input", "i").select("input", "line").write.mode(mode).partitionBy("input").text(f"{path}/txt")
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", partition_by=()) -> None:
     """K4: JSON lines; undefined values are written as null (not dropped, not NaN)."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
+    w = df.write.mode(mode).option("ignoreNullFields", "false")
+    (w.partitionBy(*partition_by) if partition_by else w).json(path)
+
+
+RUN_PARTITIONS = ("session", "script", "model", "input", "run")
+
+
+def write_run_archive(runs: DataFrame, path: str, session: str, mode: str = "append", scoring_mode: str = "table",
+                      job_id: str | None = None, started: str | None = None, ended: str | None = None) -> None:
+    """K5: three tables partitioned by session / script / model / input / run: the runs' predictions,
+    their metrics (confusion and ratios), and what is known of each run. The seed is the run's index."""
+    keyed = runs.withColumn("session", F.lit(session))
+    write_csv(keyed.select(*RUN_PARTITIONS, *K.PREDICTION_TABLE_COLUMNS), f"{path}/predictions", mode, partition_by=RUN_PARTITIONS)
+    per_run = per_run_metrics(runs).withColumn("session", F.lit(session))
+    write_json(per_run.select(*RUN_PARTITIONS, *nested_result()), f"{path}/metrics", mode, partition_by=RUN_PARTITIONS)
+    given = {"mode": scoring_mode, "job_id": job_id, "start_time": started, "end_time": ended}
+    info = keyed.select(*RUN_PARTITIONS).distinct().select(
+        *RUN_PARTITIONS, F.struct(
+            F.col("script").alias("script"), F.col("model").alias("model"), F.col("input").alias("input"),
+            *[F.lit(v).cast("string").alias(k) for k, v in given.items()],
+            F.col("run").alias("run_index"), F.col("run").alias("seed"),
+            artifact_key("model", "input").alias("predictions_file")).alias("run_info"))
+    write_json(info, f"{path}/run_info", mode, partition_by=RUN_PARTITIONS)
+
+
+def nested_result() -> list[Column]:
+    """Counts and ratios as the two structs of a result document."""
+    return [F.struct("tp", "fp", "fn", "tn", "n_total").alias("confusion"),
+            F.struct("precision", "recall", "f1", "accuracy").alias("metrics")]
+
+
+def write_results(per_file: DataFrame, path: str, metric: str = "f1", mode: str = "overwrite") -> None:
+    """K4: the results document of a directory: ``files``, a JSON line for each in the order of their paths
+    (with an error in place of numbers where there is one), and ``aggregate``, one line."""
+    error = "error" if "error" in per_file.columns else F.lit(None).cast("string").alias("error")
+    files = per_file.select(F.col("file").alias("path"), *nested_result(), error)
+    bad = F.col("error").isNotNull()
+    files = files.select("path", *[F.when(~bad, F.col(c)).alias(c) for c in ("confusion", "metrics")], "error")
+    write_json(files.orderBy("path"), f"{path}/files", mode)
+    good = files.filter(~bad).select("metrics.*")
+    write_json(metric_across_files(good, metric), f"{path}/aggregate", mode)
 
 
-def write_run_archive(runs: DataFrame, path: str, session: str, mode: str = "append") -> None:
-    """K5: one table partitioned by session / script / model / input / run."""
-    out = runs.withColumn("session", F.lit(session))
-    write_csv(out.select("session", "script", "model", "input", "run", *K.PREDICTION_TABLE_COLUMNS),
-              path, mode, partition_by=("session", "script", "model", "input", "run"))
+def write_summary(across: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A10: the summary of all launch scripts, a JSON line each in their order."""
+    write_json(summary_entries(across).orderBy("script"), path, mode)
 
 
 def report_lines(annotated: DataFrame, tags: bool = False) -> DataFrame:
-    """K6: a ``Sentence:`` line and an ``Output:`` (or ``Tags:``) line per segment,
-    followed by two blank lines, as one text value."""
-    second = "Tags:" if tags else "Output:"
-    body = F.concat(F.lit("Sentence:"), F.col("sentence"), F.lit("\n" + second), F.col("output"), F.lit("\n\n"))
-    return annotated.select(body.alias("value"))
+    """K6: (doc_id, value): a ``Sentence:`` and an ``Output:`` line followed by two blank lines, or a
+    ``Sentence:`` and a ``Tags:`` line."""
+    second, end = ("Tags:", "") if tags else ("Output:", "\n\n")
+    body = F.concat(F.lit("Sentence:"), F.col("sentence"), F.lit("\n" + second), F.col("output"), F.lit(end))
+    return annotated.select("doc_id", body.alias("value"))
 
 
-def write_report(annotated: DataFrame, path: str, mode: str = "overwrite") -> None:
-    report_lines(annotated).write.mode(mode).text(path)
+def write_report(annotated: DataFrame, path: str, mode: str = "overwrite", tags: bool = False) -> None:
+    """The report in the order of the documents."""
+    report_lines(annotated, tags).orderBy("doc_id").select("value").write.mode(mode).text(path)

@@ -1,9 +1,9 @@
 """Metrics as prediction files arrive (ST1).
 
-A file-source stream over a folder of prediction tables (partitioned by script and
-run) keeps the confusion counts per (script, run) as its only state, in ``complete``
-mode; every epoch replaces a table in the shared folder, and ratios are derived on
-read. ``Trigger.AvailableNow`` processes what is there and stops; a long-running
+A file-source stream over a folder of prediction tables (partitioned by script, model,
+input and run) keeps the confusion counts of each run as its only state, in ``complete``
+mode; every epoch writes a new version of a table in the shared folder, readers take the
+last one that is complete, and ratios are derived on read. ``Trigger.AvailableNow`` processes what is there and stops; a long-running
 deployment uses a processing-time trigger with the same query. Files must be
 immutable (one new file per run), which the file source assumes anyway.
 """
@@ -19,8 +19,10 @@ from detlens.session import shared_path
 
 PREDICTION_STREAM_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType(), True) for c in K.PREDICTION_TABLE_COLUMNS]
-    + [T.StructField("script", T.StringType(), True), T.StructField("run", T.LongType(), True)]
+    + [T.StructField(c, T.StringType(), True) for c in ("script", "model", "input")]
+    + [T.StructField("run", T.LongType(), True)]
 )
+RUN_KEY = ("script", "model", "input", "run")
 
 
 def start_run_metrics(spark: SparkSession, source_dir: str, table_dir: str, checkpoint_dir: str,
@@ -33,10 +35,10 @@ def start_run_metrics(spark: SparkSession, source_dir: str, table_dir: str, chec
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     preds = reader.csv(source_dir)
-    counts = confusion_columns(preds, "grammatical", "grammatical_pred", group=("script", "run"))
+    counts = confusion_columns(preds, "grammatical", "grammatical_pred", group=RUN_KEY)
 
     def publish(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table_dir)
+        batch.write.mode("overwrite").parquet(f"{table_dir}/v={epoch_id}")
 
     writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_dir).foreachBatch(publish)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -44,8 +46,13 @@ def start_run_metrics(spark: SparkSession, source_dir: str, table_dir: str, chec
 
 
 def run_metrics_table(spark: SparkSession, table_dir: str) -> DataFrame:
-    """The published counts with precision / recall / F1 / accuracy derived on read."""
-    return prf_accuracy(spark.read.parquet(table_dir))
+    """The counts of the last complete version, with precision / recall / F1 / accuracy derived on read."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{table_dir}/v=*/_SUCCESS")
+    done = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    versions = [f.getPath().getParent().getName() for f in done]
+    last = max(versions, key=lambda v: int(v.partition("=")[2]))
+    return prf_accuracy(spark.read.parquet(f"{table_dir}/{last}"))
 
 
 def stream_once(spark: SparkSession, source_dir: str) -> DataFrame:

@@ -169,7 +169,7 @@ def test_stream_equals_batch(spark, sf_dir):
     runs = V.runs(V.english_words(spark, sf_dir))
     source = shared_path(spark, "t-stream")
     SNK.write_csv(runs.select("sentence", "noun_phrase", "grammatical", "corrected", "grammatical_pred",
-                              "correction", "script", "run"), source, partition_by=("script", "run"),
+                              "correction", *ST.RUN_KEY), source, partition_by=ST.RUN_KEY,
                   emptyValue='""')
     streamed = ST.stream_once(spark, source).select("script", "run", "tp", "fp", "fn", "tn")
     batch = M.confusion_columns(runs, "grammatical", "grammatical_pred", group=("script", "run")).select(
