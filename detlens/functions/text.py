@@ -1,12 +1,12 @@
 """Scalar text functions as Spark Columns.
 
-All of these are JVM expressions. Spark has no NFKC builtin; normalisation calls the
-ICU library that ships with Spark (used there for collations) through ``reflect``,
-only for values that contain a non-ASCII character (ASCII is NFKC-stable).
+All of these are deterministic JVM expressions except NFKC, for which Spark has no builtin: an Arrow
+UDF that sees values with a non-ASCII character only.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,14 +57,18 @@ def is_non_ascii(c) -> Column:
     return col(c).rlike(r"[^\x00-\x7F]")
 
 
-ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
+def nfkc(c) -> Column:
+    """Unicode NFKC. Spark has no builtin for it: non-ASCII values go through an Arrow UDF, ASCII
+    values, which NFKC leaves alone, reach it as NULL."""
 
+    def normalize(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFKC")
 
-def nfkc(c) -> Column:
-    """Unicode NFKC (ICU ``Normalizer.compose(s, compat=true)``), skipped for ASCII values."""
     c = col(c)
-    normalized = F.reflect(F.lit(ICU_NORMALIZER), F.lit("compose"), c, F.lit(True))
-    return F.when(c.isNotNull() & is_non_ascii(c), normalized).otherwise(c)
+    other = c.isNotNull() & is_non_ascii(c)
+    # Defined here, so that workers get the function itself and need not find the package.
+    udf = F.pandas_udf(normalize, "string")
+    return F.when(other, udf(F.when(other, c))).otherwise(c)
 
 
 def clean_text(c) -> Column:

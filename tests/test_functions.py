@@ -166,3 +166,13 @@ def test_prompt_mentions_fields_and_marker(spark):
     df = spark.createDataFrame([("I saw cat.", "cat")], "s string, n string")
     p = df.select(judge_prompt("s", "n").alias("p")).first()["p"]
     assert 'Sentence: "I saw cat."' in p and 'Noun phrase: "cat"' in p and p.rstrip().endswith("<EOT>:")
+
+
+def test_clean_text_is_deterministic(spark):
+    """It can stand in a join condition and inside an aggregate."""
+    from pyspark.sql import functions as F
+
+    a = spark.createDataFrame([("\uff21 b",), ("c",)], "x string")
+    b = spark.createDataFrame([("A b", 1), ("c", 2)], "y string, n int")
+    assert sorted(r["n"] for r in a.join(b, TX.clean_text("x") == F.col("y")).collect()) == [1, 2]
+    assert a.agg(F.max(TX.clean_text("x"))).first()[0] == "c"
