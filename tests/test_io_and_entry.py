@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
+from detlens.constants import PREDICTION_TABLE_COLUMNS
 from detlens.functions.labels import format_benchmark
 from detlens.functions.lines import classify_line, csv_line
 from detlens.operators import metrics as M
+from detlens.operators import runs as RU
 from detlens.operators.scoring import batch_score
 from detlens.plans import queries as Q
 from detlens.plans import views as V
@@ -233,3 +235,62 @@ def test_scoring_run_writes_predictions_and_metrics(spark, sf_dir):
     lines = spark.read.text(f"{out}/metrics/txt").collect()
     keys = [r["value"].split("=", 1)[0] for r in lines]
     assert keys[:3] == ["model", "input", "elapsed_sec"] and keys[-1] == "mean_edit_distance_TP_no"
+
+
+def test_launch_script_with_two_python_commands(spark, tmp_path):
+    (tmp_path / "a.sh").write_text("python setup.py install\npython3 x/score.py \\\n --model 'm' --input=d/i.csv\n")
+    (tmp_path / "b.sh").write_text("python other.py --model no --input no\npython score.py --model m2 --input i2\n")
+    (tmp_path / "c.txt").write_text("python score.py --model no --input no\n")
+    scripts = RU.read_launch_scripts(spark, f"{tmp_path}/*.sh")
+    got = {r["script"]: (r["model"], r["input"]) for r in RU.parse_launch_scripts(scripts).collect()}
+    assert got == {"a.sh": ("m", "i.csv"), "b.sh": ("no", "no")}
+    got = {r["script"]: (r["model"], r["input"]) for r in RU.parse_launch_scripts(scripts, "score.py").collect()}
+    assert got == {"a.sh": ("m", "i.csv"), "b.sh": ("m2", "i2")}
+
+
+def test_reports_are_ordered_and_whole(spark, tmp_path):
+    df = spark.createDataFrame([(2, " b", " b"), (1, " a", " a [EXTRA DET:a] ")], "doc_id long, sentence string, output string")
+    SNK.write_report(df, f"{tmp_path}/out")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()] == [
+        "Sentence: a", "Output: a [EXTRA DET:a] ", "", "", "Sentence: b", "Output: b", "", ""]
+    SNK.write_report(df, f"{tmp_path}/tags", tags=True)
+    assert [r["value"][:5] for r in spark.read.text(f"{tmp_path}/tags").collect()] == ["Sente", "Tags:"] * 2
+
+
+def test_short_tag_table_gives_no_trigger(spark):
+    from detlens.operators.detect import with_tags
+
+    ctx = spark.createDataFrame([(1, 0, "a", "b"), (1, 1, "b", "c"), (1, 2, "c", None)], "doc_id long, pos long, w string, n string")
+    tags = spark.createDataFrame([(1, 0, "a", "noun"), (1, 1, "x", "noun")], "doc_id long, pos long, word string, tag string")
+    got = [(r["tag_w"], r["tag_n"]) for r in with_tags(ctx, tags).orderBy("pos").collect()]
+    assert got == [("noun", None), (None, None), (None, None)]
+
+
+def test_long_document_is_one_report_entry(spark):
+    """Longer than any bound on words that the annotation ever had."""
+    from detlens.operators import detect as D
+
+    words = spark.createDataFrame([(1, "s", ["the", "cat"] * 5000)], "doc_id long, source string, words array<string>")
+    model = D.BigramModel(V.tokens_ctx(words))
+    rows = D.annotate(words, D.extra_flags(model, D.determiner_flags(model), with_missing=True)).collect()
+    assert len(rows) == 1 and rows[0]["sentence"].count(" ") == 10000
+
+
+def test_predictions_file_has_six_columns(spark, sf_dir):
+    from detlens.plans.scoring_run import run_scoring
+    from detlens.operators.scoring import TemplateScorer
+
+    out = shared_path(spark, "t-six")
+    run_scoring(V.benchmark_table(V.english_words(spark, sf_dir)).limit(50), TemplateScorer, out, "m", "i.csv", keep=("doc_id", "pos"))
+    assert tuple(spark.read.option("header", "true").csv(f"{out}/predictions").columns) == PREDICTION_TABLE_COLUMNS
+    assert "doc_id" in spark.read.parquet(f"{out}/scored").columns
+
+
+def test_archive_holds_metrics_and_run_info(spark, sf_dir, tmp_path):
+    runs = V.runs(V.english_words(spark, sf_dir)).filter("run = 3")
+    SNK.write_run_archive(runs, str(tmp_path), "s1", mode="overwrite", started="2024-01-01T00:00:00")
+    info = spark.read.json(f"{tmp_path}/run_info").select("run_info.*").first().asDict()
+    assert set(info) == {"script", "model", "input", "mode", "job_id", "run_index", "seed", "start_time", "end_time", "predictions_file"}
+    assert info["seed"] == info["run_index"] == 3 and info["job_id"] is None
+    first = spark.read.json(f"{tmp_path}/metrics").first()
+    assert first["confusion"]["n_total"] == sum(first["confusion"][c] for c in ("tp", "fp", "fn", "tn"))
