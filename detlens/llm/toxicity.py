@@ -8,7 +8,8 @@ worst window; all windows of the whole text, one every ``STRIDE`` words, are sco
 Training takes at most ``TRAIN_DOCS`` labelled documents and ``TRAIN_BYTES`` of their text (in
 the order of a hash of the key, those with ``crc32(key) mod 4 = 2`` left out) to the driver.
 A label holds for a whole document, so every step trains on the document's worst window under
-the current weights. Embeddings start from the smoothed log-odds of their words and n-grams.
+the current weights. One dimension of either embedding is fixed: the smoothed log-odds of the word
+or the n-grams, which a training document takes from the other half of the documents.
 
 Cases: null, empty and wordless texts score 0; a null key is read as the empty string for the
 split; without labelled documents of both kinds every text with words gets the share of toxic labels;
@@ -73,6 +74,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+#: Log-odds by word bucket and by n-gram bucket.
+Odds = tuple[np.ndarray, np.ndarray]
+
+
+def _gram_sums(f: Features, table: np.ndarray) -> np.ndarray:
+    """For every distinct word, the sum of the table's rows for its n-grams."""
+    out = table[f.heads].sum(axis=1)
+    some = np.flatnonzero(f.n_grams)
+    if len(some):
+        out[some] += np.add.reduceat(table[f.grams], f.grams_first[some], axis=0)
+    return out
+
+
 class Network:
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -89,16 +103,16 @@ class Network:
             self.p["attend"][2 * HIDDEN + i, 0] = 0.7
             self.p["out"][2 * HIDDEN + i] = 1.0
         self.p["query"][0] = 3.0
+        self.odds: Odds = (np.zeros(WORD_BUCKETS, np.float32), np.zeros(CHAR_BUCKETS, np.float32))
         self.prior: float | None = None
 
-    def inputs(self, f: Features, which: np.ndarray | None = None) -> np.ndarray:
-        """The input vectors of the distinct words (or of those named)."""
-        chars = self.chars[f.heads].sum(axis=1)
-        some = np.flatnonzero(f.n_grams)
-        if len(some):
-            chars[some] += np.add.reduceat(self.chars[f.grams], f.grams_first[some], axis=0)
-        chars /= (3 + f.n_grams)[:, None]
-        return np.concatenate([self.words[f.word], chars], axis=1)
+    def inputs(self, f: Features, odds: Odds | None = None) -> np.ndarray:
+        """The input vectors of the distinct words. The first dimension of either half is log-odds."""
+        by_word, by_gram = odds or self.odds
+        mean = lambda table: _gram_sums(f, table) / (3 + f.n_grams)[:, None]
+        out = np.concatenate([self.words[f.word], mean(self.chars)], axis=1)
+        out[:, 0], out[:, DIM] = by_word[f.word], mean(by_gram[:, None])[:, 0]
+        return out
 
     def _gru(self, gates: np.ndarray, weights: np.ndarray, mask: np.ndarray, reverse: bool, keep: bool):
         n, steps = gates.shape[:2]
@@ -159,10 +173,13 @@ class Network:
         g["input"], g["bias"] = np.einsum("ntd,ntg->dg", x, d_gates), d_gates.sum(axis=(0, 1))
         return g, d_rep[..., 2 * HIDDEN:] + d_gates @ p["input"].T, d_gates
 
-    def score_windows(self, f: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first word, words, logit) of all windows."""
+    def score_windows(self, f: Features, texts: np.ndarray | None = None,
+                      odds: Odds | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, words, logit) of all windows, or of those of the texts that are marked."""
         text, first, n = f.windows()
-        vectors = self.inputs(f)
+        if texts is not None:
+            text, first, n = text[texts[text]], first[texts[text]], n[texts[text]]
+        vectors = self.inputs(f, odds)
         gates = vectors @ self.p["input"] + self.p["bias"]
         logits = np.empty(len(text), np.float32)
         order = np.argsort(n, kind="stable")
@@ -200,7 +217,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         return net
     (_, _, slice_), = C.slices(pa.array(texts, pa.large_string()), 1 << 62)
     f = Features(slice_)
-    _start_from_odds(net, f, labels)
+    # A document trains with log-odds that the other half of the documents gave: its own would tell its label.
+    fold = np.arange(len(labels)) % 2
+    halves = [_log_odds(f, labels, fold != k) for k in (0, 1)]
+    net.odds = _log_odds(f, labels, np.ones(len(labels), dtype=bool))
     net.p["out_bias"][0] = np.log(labels.mean() / (1 - labels.mean()))
     rng = np.random.default_rng(seed)
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -208,7 +228,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     weight = np.array([1.0, min(5.0, float((1 - labels.mean()) / labels.mean()))], np.float32)
     step = 0
     for epoch in range(epochs):
-        text, first, n, logits = net.score_windows(f)
+        text, first, n, logits = (np.concatenate(x) for x in zip(
+            *(net.score_windows(f, fold == k, halves[k]) for k in (0, 1)), strict=True))
         by = np.lexsort((-logits, text))
         worst = by[np.append(True, np.diff(text[by]) > 0)]
         other = rng.integers(0, len(text), len(worst) // 2)  # some more windows of clean documents
@@ -220,11 +241,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             code, mask = _window_codes(f, first[part], n[part])
             words, local = np.unique(code, return_inverse=True)
             sub = _some(f, words)
-            vectors = net.inputs(sub)
-            x = vectors[local.reshape(code.shape)]
+            each = [net.inputs(sub, h) for h in halves]
+            x = np.where(fold[text[part]][:, None, None] == 0, *(v[local.reshape(code.shape)] for v in each))
             y = labels[text[part]]
             g, d_x, _ = net.gradients(x, x @ net.p["input"] + net.p["bias"], mask, y)
-            d_words = np.zeros_like(vectors)
+            d_words = np.zeros_like(each[0])
             np.add.at(d_words, local.ravel(), (d_x * mask[..., None] * weight[y.astype(int)][:, None, None]).reshape(-1, d_x.shape[2]))
             step += 1
             for name, grad in g.items():
@@ -257,25 +278,25 @@ def _adagrad(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.
     table[where] -= rate * total / np.sqrt(squares[where])[:, None]
 
 
-def _start_from_odds(net: Network, f: Features, labels: np.ndarray) -> None:
-    """The first dimension of an embedding: how much likelier a toxic document has its word or n-gram."""
+def _log_odds(f: Features, labels: np.ndarray, use: np.ndarray) -> Odds:
+    """How much likelier a toxic document among those marked has a word or n-gram, as smoothed log-odds."""
     doc = np.repeat(np.arange(len(f.count)), f.count)
-    pair = np.unique(doc * np.int64(len(f.word)) + f.code)
+    pair = np.unique(doc[use[doc]] * np.int64(len(f.word)) + f.code[use[doc]])
     doc, word = pair // len(f.word), pair % len(f.word)
+    share = np.clip(labels[use].mean() if use.any() else 0.5, 0.01, 0.99)
 
     def odds(doc: np.ndarray, bucket: np.ndarray, buckets: int) -> np.ndarray:
         both = np.unique(doc * np.int64(buckets) + bucket)
         doc, bucket = both // buckets, both % buckets
         bad = np.bincount(bucket[labels[doc] > 0], minlength=buckets)
         good = np.bincount(bucket[labels[doc] == 0], minlength=buckets)
-        share = (labels > 0).mean()
-        return np.log(bad + 2 * share) - np.log(good + 2 * (1 - share)) - np.log(share / (1 - share))
+        value = np.log(bad + 2 * share) - np.log(good + 2 * (1 - share)) - np.log(share / (1 - share))
+        return np.clip(value, -1, 4).astype(np.float32)
 
-    net.words[:, 0] = np.clip(odds(doc, f.word[word], WORD_BUCKETS), -1, 4)
     n = 3 + f.n_grams[word]
     grams = f.grams[np.arange((n - 3).sum()) + np.repeat(f.grams_first[word] - np.cumsum(n - 3) + n - 3, n - 3)]
-    net.chars[:, 0] = np.clip(odds(np.concatenate([np.repeat(doc, 3), np.repeat(doc, n - 3)]),
-                                   np.concatenate([f.heads[word].ravel(), grams]), CHAR_BUCKETS), -1, 4)
+    return (odds(doc, f.word[word], WORD_BUCKETS),
+            odds(np.concatenate([np.repeat(doc, 3), np.repeat(doc, n - 3)]), np.concatenate([f.heads[word].ravel(), grams]), CHAR_BUCKETS))
 
 
 def held_out(key: str | Column = "doc_id") -> Column:

@@ -26,7 +26,7 @@ def folder(spark, tmp_path_factory):
         bad = i % 9 == 0
         if bad:
             for _ in range(3):
-                w[rng.randrange(len(w))] = f"zxqq{rng.randrange(99)}"
+                w[rng.randrange(len(w))] = f"zxqq{rng.randrange(5)}"
         rows.append((i, " ".join(w), "en", f"s{i % 4}", None))
         toxic.append((i, 1 - i % 2, int(bad)))
     rows += [(400 + i, rows[i + 1][1] + " end", "en", "s1", 1) for i in range(7)]
