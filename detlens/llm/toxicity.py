@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 16
 DIM, HIDDEN, ATTEND = 8, 8, 8
 #: An epoch has about so many steps of at least so many windows.
-EPOCHS, STEPS, LEAST_BATCH = 5, 36, 16
+EPOCHS, STEPS, LEAST_BATCH = 4, 36, 16
 #: Windows that go through the network at once.
 CHUNK = 4096
 _PREFIX = np.uint64(0x517CC1B727220A95)
@@ -45,19 +45,29 @@ class Features:
     """The words of a slice as numbers of distinct words, and the distinct words' features."""
 
     def __init__(self, texts: C.Texts):
-        w = C.Words(texts, C.ALNUM)
-        hashes = C.span_hashes(texts.data, w.start, w.end, lower=True)
-        self.first, self.count = w.first[:-1], w.count
+        parts, i = [], 0
+        while i < len(texts):  # a slice at a time: training brings all its texts at once
+            j = max(i + 1, int(np.searchsorted(texts.hi, texts.lo[i] + C.SLICE_BYTES, side="right")))
+            lo = texts.lo[i]
+            some = C.Texts(texts.data[lo: texts.hi[j - 1]], texts.lo[i:j] - lo, texts.hi[i:j] - lo)
+            w = C.Words(some, C.ALNUM)
+            parts.append((w.start + lo, w.end + lo, w.count, C.span_hashes(some.data, w.start, w.end, lower=True)))
+            i = j
+        start, end, self.count, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.first = np.cumsum(self.count) - self.count
         self.code, unique = pd.factorize(hashes)
         at = np.empty(len(unique), dtype=np.int64)
         at[self.code[::-1]] = np.arange(len(hashes))[::-1]
-        start, end = w.start[at], w.end[at]
+        size = end[at] - start[at]
+        end = np.cumsum(size)  # from here on in the distinct words' own bytes
+        data = texts.data[np.arange(size.sum()) + np.repeat(start[at] - end + size, size)]
+        start = end - size
         self.word = (unique & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
-        heads = [C.span_hashes(texts.data, start, np.minimum(start + n, end), lower=True) + _PREFIX for n in (3, 4, 5)]
-        self.n_grams = np.maximum(0, end - start - 3)
+        heads = [C.span_hashes(data, start, np.minimum(start + n, end), lower=True) + _PREFIX for n in (3, 4, 5)]
+        self.n_grams = np.maximum(0, size - 3)
         total = np.cumsum(self.n_grams)
-        pos = np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + self.n_grams, self.n_grams)
-        grams = C.span_hashes(texts.data, pos, pos + 4, lower=True)
+        pos = np.arange(self.n_grams.sum()) + np.repeat(start - total + self.n_grams, self.n_grams)
+        grams = C.span_hashes(data, pos, pos + 4, lower=True)
         bucket = lambda h: (C.mix(h) & np.uint64(CHAR_BUCKETS - 1)).astype(np.int64)
         self.heads, self.grams = np.stack([bucket(h) for h in heads], axis=1), bucket(grams)
         self.grams_first = total - self.n_grams
@@ -109,7 +119,7 @@ class Network:
     def inputs(self, f: Features, odds: Odds | None = None) -> np.ndarray:
         """The input vectors of the distinct words. The first dimension of either half is log-odds."""
         by_word, by_gram = odds or self.odds
-        mean = lambda table: _gram_sums(f, table) / (3 + f.n_grams)[:, None]
+        mean = lambda table: _gram_sums(f, table) / (3 + f.n_grams)[:, None].astype(np.float32)
         out = np.concatenate([self.words[f.word], mean(self.chars)], axis=1)
         out[:, 0], out[:, DIM] = by_word[f.word], mean(by_gram[:, None])[:, 0]
         return out
@@ -280,23 +290,16 @@ def _adagrad(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.
 
 def _log_odds(f: Features, labels: np.ndarray, use: np.ndarray) -> Odds:
     """How much likelier a toxic document among those marked has a word or n-gram, as smoothed log-odds."""
-    doc = np.repeat(np.arange(len(f.count)), f.count)
-    pair = np.unique(doc[use[doc]] * np.int64(len(f.word)) + f.code[use[doc]])
-    doc, word = pair // len(f.word), pair % len(f.word)
     share = np.clip(labels[use].mean() if use.any() else 0.5, 0.01, 0.99)
-
-    def odds(doc: np.ndarray, bucket: np.ndarray, buckets: int) -> np.ndarray:
-        both = np.unique(doc * np.int64(buckets) + bucket)
-        doc, bucket = both // buckets, both % buckets
-        bad = np.bincount(bucket[labels[doc] > 0], minlength=buckets)
-        good = np.bincount(bucket[labels[doc] == 0], minlength=buckets)
-        value = np.log(bad + 2 * share) - np.log(good + 2 * (1 - share)) - np.log(share / (1 - share))
-        return np.clip(value, -1, 4).astype(np.float32)
-
-    n = 3 + f.n_grams[word]
-    grams = f.grams[np.arange((n - 3).sum()) + np.repeat(f.grams_first[word] - np.cumsum(n - 3) + n - 3, n - 3)]
-    return (odds(doc, f.word[word], WORD_BUCKETS),
-            odds(np.concatenate([np.repeat(doc, 3), np.repeat(doc, n - 3)]), np.concatenate([f.heads[word].ravel(), grams]), CHAR_BUCKETS))
+    seen = [np.zeros((2, buckets), dtype=np.int64) for buckets in (WORD_BUCKETS, CHAR_BUCKETS)]
+    for d in np.flatnonzero(use):
+        word = np.unique(f.code[f.first[d]: f.first[d] + f.count[d]])
+        n = f.n_grams[word]
+        grams = f.grams[np.arange(n.sum()) + np.repeat(f.grams_first[word] - np.cumsum(n) + n, n)]
+        for table, buckets in zip(seen, (f.word[word], np.concatenate([f.heads[word].ravel(), grams])), strict=True):
+            table[int(labels[d] > 0), np.unique(buckets)] += 1
+    return tuple(np.clip(np.log(bad + 2 * share) - np.log(good + 2 * (1 - share)) - np.log(share / (1 - share)), -1, 4).astype(np.float32)
+                 for good, bad in seen)
 
 
 def held_out(key: str | Column = "doc_id") -> Column:
