@@ -261,7 +261,7 @@ def decide(found: DataFrame) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     found = scan(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
-    return decide(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
+    return decide(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 OP4_SQL = r"""
@@ -281,16 +281,10 @@ g AS (
 m AS (SELECT g.doc_id, g.i, g.n, p.item_id FROM g JOIN p ON g.n = p.n AND g.g = p.g),
 hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM m) GROUP BY 1),
 it AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs, min(lo) AS lo
-  FROM (SELECT doc_id, CAST(item_id AS VARCHAR) AS x, min(i) AS lo FROM m GROUP BY 1, 2) GROUP BY 1),
-ranges AS (
-  SELECT doc_id, list(v ORDER BY v) AS hits FROM (
-    SELECT doc_id, unnest([min(pos), max(pos) + 1]) AS v FROM (
-      SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS grp
-      FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) - 1 AS pos FROM m)) GROUP BY doc_id, grp) GROUP BY 1)
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(xs, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
-  CAST(coalesce(hits, []) AS INTEGER[]) AS hits
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ranges USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
