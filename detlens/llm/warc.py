@@ -137,7 +137,11 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
 
 class Damaged(ValueError):
-    """A record failed a check."""
+    """A record failed a check; ``found`` are the valid records before the damage."""
+
+    def __init__(self, why: str, found: list[dict] | None = None):
+        super().__init__(why)
+        self.found = found or []
 
 
 class _Source:
@@ -167,11 +171,11 @@ class _Source:
 
 def _parse(data: bytes, offset: int) -> tuple[dict, bytes, int]:
     """(headers, block, end) of the record at ``offset`` of ``data``."""
-    head_end = data.find(b"\r\n\r\n", offset, offset + _HEADER_BYTES)
-    if head_end < 0:
-        raise Damaged("headers do not end")
     if not _VERSION_LINE.match(data, offset):
         raise Damaged("no version line")
+    head_end = data.find(b"\r\n\r\n", offset)
+    if head_end < 0:
+        raise Damaged("headers do not end")
     head = {}
     for line in data[offset:head_end].split(b"\r\n")[1:]:
         name, colon, value = line.decode("utf-8", "replace").partition(":")
@@ -207,60 +211,95 @@ def _checked(head: dict, block: bytes) -> dict:
             "payload_digest": named, "payload_bytes": None if size is None else int(size), "payload": payload}
 
 
-def _records_at(source: _Source, offset: int) -> tuple[list[dict], int]:
-    """The valid records that begin at ``offset`` (a member may hold several) and where they end."""
+def _inside(data: bytes, whole: bool) -> tuple[list[dict], str | None]:
+    """(valid records, first error) of a member's bytes; after a failed check it goes on at the next version line.
+    Of bytes that break off the last record isn't trusted."""
+    found, error, k = [], None, 0
+    while k < len(data):
+        try:
+            head, block, end = _parse(data, k)
+            record = _checked(head, block)
+        except Damaged as e:
+            error = error or str(e)
+            at = _VERSION_LINE.search(data, k + 1)
+            k = at.start() if at else len(data)
+            continue
+        if whole or end < len(data):
+            found.append(record)
+        k = end
+    return found, error
+
+
+def _readable(z, part: bytes) -> bytes:
+    """What can be decompressed of a part with an error in it."""
+    out = []
+    try:
+        for i in range(0, len(part), 16):
+            out.append(z.decompress(part[i: i + 16]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _records_at(source: _Source, offset: int) -> tuple[list[dict], int, str | None]:
+    """The valid records that begin at ``offset`` (a member may hold several), where they end, and what is wrong between them."""
     start = source.at(offset, len(VERSION))
     if start.startswith(MEMBER):
         z, parts, at = zlib.decompressobj(31), [], offset
         while not z.eof:
             part = source.at(at, min(_CHUNK, source.size - at)) if at < source.size else b""
             if not part:
-                raise Damaged("the member is cut off")
+                raise Damaged("the member is cut off", _inside(b"".join(parts), False)[0])
+            before = z.copy()
             try:
                 parts.append(z.decompress(part))
             except zlib.error as e:
-                raise Damaged(f"gzip: {e}") from None
+                parts.append(_readable(before, part))
+                raise Damaged(f"gzip: {e}", _inside(b"".join(parts), False)[0]) from None
             at += len(part)
-        data, end, found = b"".join(parts), at - len(z.unused_data), []
-        k = 0
-        while k < len(data):
-            head, block, k = _parse(data, k)
-            found.append(_checked(head, block))
-        return found, end
+        found, error = _inside(b"".join(parts), True)
+        if error and not found:
+            raise Damaged(error)
+        return found, at - len(z.unused_data), error
     if not start.startswith(VERSION):
         raise Damaged("neither a member nor a version line")
-    head_bytes = source.at(offset, _HEADER_BYTES)
-    length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", head_bytes)
-    stop = head_bytes.find(b"\r\n\r\n")
-    need = (stop + 8 + int(length[1])) if length and stop >= 0 else len(head_bytes)
+    size = _HEADER_BYTES
+    head_bytes = source.at(offset, min(size, source.size - offset))
+    while (stop := head_bytes.find(b"\r\n\r\n")) < 0 and offset + size < source.size and _VERSION_LINE.match(head_bytes):
+        size *= 4
+        head_bytes = source.at(offset, min(size, source.size - offset))
+    length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", head_bytes[: stop + 2] if stop >= 0 else b"")
+    need = (stop + 8 + int(length[1])) if length else len(head_bytes)
     if offset + need > source.size:
         raise Damaged("the record is cut off")
     head, block, end = _parse(source.at(offset, need), 0)
-    return [_checked(head, block)], offset + end
+    return [_checked(head, block)], offset + end, None
 
 
 def salvage(source: _Source) -> Iterator[tuple[int, int, str | None, dict | None]]:
-    """(offset, length, error, record): records in order; a gap has an error and no record."""
+    """(offset, length, error, record): records in order; a gap has an error and no record. Damage inside a
+    member that also holds valid records is logged as a gap of the whole member, after them."""
     pos = 0
     while pos < source.size:
         if source.at(pos, 1) in (b"\r", b"\n"):  # blank lines between plain records
             pos += 1
             continue
         try:
-            found, end = _records_at(source, pos)
+            found, end, why = _records_at(source, pos)
         except Damaged as e:
-            why, after = str(e), source.find(pos + 1)
-            while after < source.size:
+            why, found, end = str(e), e.found, source.find(pos + 1)
+            while end < source.size:
                 try:
-                    _records_at(source, after)
+                    _records_at(source, end)
                     break
-                except Damaged:
-                    after = source.find(after + 1)
-            yield pos, after - pos, why, None
-            pos = after
-            continue
+                except Damaged as other:
+                    if other.found:
+                        break
+                    end = source.find(end + 1)
         for r in found:
             yield pos, end - pos, None, r
+        if why:
+            yield pos, end - pos, why, None
         pos = end
 
 

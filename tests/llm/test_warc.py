@@ -129,3 +129,27 @@ def test_query(spark, sf_dir):
         r, raw = got[p.page_id], p.h.encode()
         assert (r.payload_bytes, r.payload_digest) == (len(raw), W.digest(raw)) and len(hashlib.sha1(raw).digest()) == 20
         assert (r.record_type, r.refers_to) == (("response", None) if first[p.h] == p.page_id else ("revisit", first[p.h]))
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_long_url(plain):
+    raw = [W.record(i, "data:" + "x" * n, b"payload", None, False) for i, n in enumerate((10, 65_000, 70_000, 600_000))]
+    found = salvage(b"".join(raw if plain else map(W.gzip_member, raw)))
+    assert ids(found) == [0, 1, 2, 3] and [len(r["url"]) for *_, r in found] == [15, 65_005, 70_005, 600_005]
+
+
+def test_damage_inside_a_member_costs_only_the_damaged_records(members):
+    raw = [r for _, r in members]
+    raw[3] = raw[3].replace(b"sha1:", b"sha1:A", 1)
+    raw[7] = raw[7].replace(b"Content-Length:", b"Content-Width:")
+    found = salvage(gzip.compress(b"".join(raw[:6])) + gzip.compress(b"".join(raw[6:])))
+    assert ids(found) == [0, 1, 2, 4, 5, 6, 8, 9, 10, 11]
+    assert [e for _, _, e, _ in found if e] == ["payload digest", "no content length"]
+
+
+def test_records_before_the_damage_of_a_member_are_kept(members):
+    raw = [r for _, r in members]
+    whole = gzip.compress(b"".join(raw))
+    found = salvage(whole[: len(whole) * 2 // 3] + W.gzip_member(raw[11]))
+    assert set(range(6)) <= set(ids(found)) and ids(found)[-1] == 11
+    assert sum(bool(e) for _, _, e, _ in found) == 1
