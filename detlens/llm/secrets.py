@@ -41,11 +41,17 @@ THRESHOLD = 0.5
 TREES, DEPTH, LEAST_LEAF, CUTS = 40, 10, 3, 24
 #: A dictionary word occurs in the surroundings of at least so many findings.
 DICTIONARY_COUNT = 3
+#: Changes of the character class in a short value, and a byte in one of letters, after a credential's name that make it a
+#: sure secret; with fewer it is neither.
+SHORT_TURNS = 3
+LETTER_TURNS = 0.4
 
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *map(ord, "+/_-")]] = True
 _OPENS = np.zeros(256, dtype=bool)
 _OPENS[list(map(ord, "\"'=:"))] = True
+_ASSIGNS = np.zeros(256, dtype=bool)  # also with spaces after it
+_ASSIGNS[list(map(ord, "=:"))] = True
 _CLASS = np.zeros(256, dtype=np.int64)  # 0 other, 1 lower, 2 upper, 3 digit
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A] = 1, 2, 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -64,7 +70,9 @@ def candidate_spans(texts: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     kind = _CLASS[texts.data]
     digits = np.append(0, np.cumsum(kind == 3))
     turns = np.append(0, np.cumsum(np.append(False, (kind[1:] == 2) & (kind[:-1] == 1))))
-    opened = _OPENS[texts.data[np.maximum(start - 1, 0)]] & (start > texts.lo[doc])
+    before = np.maximum(start - 1, 0)
+    solid = np.maximum.accumulate(np.where((texts.data == 0x20) | (texts.data == 0x09), 0, np.arange(len(texts.data))))[before]
+    opened = (_OPENS[texts.data[before]] | _ASSIGNS[texts.data[solid]] & (solid >= texts.lo[doc])) & (start > texts.lo[doc])
     keep = (digits[end] > digits[start]) | opened | (turns[end] - turns[np.minimum(start + 1, end)] >= 3)
     return doc[keep], start[keep], end[keep]
 
@@ -96,10 +104,14 @@ def label(candidate: str, before: str) -> int | None:
         return 1
     if _NUMBER.fullmatch(candidate):
         return 0
-    mixed = re.search(r"\d", candidate) and re.search(r"[A-Za-z]", candidate)
-    if _ASSIGNED.search(before) and mixed and len(candidate) >= 12:
-        return 1
-    if not re.search(r"\d", candidate) or len(candidate) < 12:
+    digit, letter = re.search(r"\d", candidate), re.search(r"[A-Za-z]", candidate)
+    if _ASSIGNED.search(before):
+        kind = _CLASS[np.frombuffer(candidate.encode(), dtype=np.uint8)]
+        turns = int((kind[1:] != kind[:-1]).sum())
+        if digit and letter:
+            return 1 if len(candidate) >= 12 or turns >= SHORT_TURNS else None
+        return 1 if len(candidate) >= 12 and turns >= LETTER_TURNS * len(candidate) else None
+    if not digit or len(candidate) < 12:
         return 0
     return None
 
@@ -233,7 +245,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, key: str = "doc_id"
     found = materialize(candidates(docs, key, text), "candidates")
     known = (label_findings(found) if findings is None else findings).filter(F.col("secret").isNotNull() & F.col("candidate").isNotNull())
     order = F.xxhash64("candidate", "before", "after")
-    sample = known.filter(F.length("candidate") <= TRAIN_LENGTH).select("candidate", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), "secret")
+    sample = known.filter(F.length("candidate") <= TRAIN_LENGTH).select("candidate", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), "secret").distinct()
     rows = sample.orderBy(order, "candidate", "before", "after", "secret").limit(train_rows).collect()
     model = docs.sparkSession.sparkContext.broadcast(Model([(r[0], r[1], r[2]) for r in rows], [r[3] for r in rows]))
 

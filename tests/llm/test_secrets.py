@@ -73,3 +73,31 @@ def test_odd_rows(spark, odd, nothing):
     got = sorted((r.doc_id, r.start, r.length) for r in S.scan(long).collect())
     assert got == [(1, 2, 600_000), (2, 7, 40), (2, 7, 40)]
     assert S.scan(nothing).collect() == []
+
+
+def test_short_and_letter_only_values_of_credentials_are_not_taught_as_clean():
+    assert S.label("Tr0ub4dor9", "the password=") == 1 and S.label("kQzXvBnRtYwPsDfG", 'secret="') == 1
+    assert S.label("abcdefg1", "password=") is None and S.label("getPasswordFromUser", "password = ") is None
+    assert S.label("Tr0ub4dor9", "the word ") == 0 and S.label("kQzXvBnRtYwPsDfG", "the word ") == 0
+
+
+def test_values_after_a_colon_and_spaces_are_candidates(spark):
+    docs = spark.createDataFrame([(1, "password:  kqzxvbnrtywps end"), (2, '"said" something'), (3, "something"), (4, "a=")], "doc_id long, text string")
+    assert [(r.key, r.candidate) for r in S.candidates(docs.coalesce(1)).collect()] == [(1, "kqzxvbnrtywps")]
+
+
+def test_finds_short_passwords(spark, rows):
+    rng = random.Random(4)
+    short = lambda: "".join(rng.choice(x) for x in ("ABCDEFGH", "abcdefgh", "0123456789", "abcdefgh", "0123456789") * 2)
+    more = [(1000 + i, f"and then the {'password=' if i % 2 else 'number '}{short()} was given") for i in range(100)]
+    found = S.scan(spark.createDataFrame([r[:2] for r in rows] + more, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found if r.is_secret and r.doc_id >= 1000} == {i for i, _ in more if i % 2}
+
+
+def test_repeated_findings_take_one_place_in_the_sample(spark, rows):
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marked = S.candidates(docs.filter("doc_id < 200")).selectExpr("candidate", "before", "after", "cast(candidate like '555-%' as int) AS secret")
+    flood = spark.createDataFrame([("a1b2c3d4", f"n{i} ", "", 0) for i in range(3)] * 500, marked.schema)
+    n = marked.distinct().count() + 3
+    found = S.scan(docs, marked.unionByName(flood), train_rows=n).filter("doc_id >= 200").collect()
+    assert {r.doc_id for r in found if r.is_secret} == {i for i, _, k in rows if k == 4 and i >= 200}
