@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from detlens.llm import contamination, hostrules, linechunks, mixing, neardup, passages, secrets, tokens, toxicity, warc
+from detlens.llm import contamination, hostrules, linechunks, mixing, neardup, passages, secrets, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secret_forest": secrets.op1_secret_forest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_host_rules": hostrules.op7_host_rules,
     "op9_minhash_hamming": neardup.op9_minhash_hamming,
     "op4_decontaminate": contamination.op4_decontaminate,
+    "op13_rendezvous_shards": sharding.op13_rendezvous_shards,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op7_host_rules": hostrules.OP7_SQL,
     "op9_minhash_hamming": neardup.OP9_SQL,
     "op4_decontaminate": contamination.OP4_SQL,
+    "op13_rendezvous_shards": sharding.OP13_SQL,
 }
