@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from detlens.llm import contamination, hostrules, linechunks, mixing, neardup, passages, secrets, sharding, tokens, toxicity, warc
+from detlens.llm import contamination, hostrules, linechunks, mixing, neardup, nsbounds, passages, prefixtrie, secrets, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secret_forest": secrets.op1_secret_forest,
@@ -15,6 +15,8 @@ QUERIES = {
     "op7_host_rules": hostrules.op7_host_rules,
     "op9_minhash_hamming": neardup.op9_minhash_hamming,
     "op4_decontaminate": contamination.op4_decontaminate,
+    "op11_ns_bounds": nsbounds.op11_ns_bounds,
+    "op12_prefix_trie": prefixtrie.op12_prefix_trie,
     "op13_rendezvous_shards": sharding.op13_rendezvous_shards,
 }
 
@@ -25,5 +27,7 @@ SQL = {
     "op7_host_rules": hostrules.OP7_SQL,
     "op9_minhash_hamming": neardup.OP9_SQL,
     "op4_decontaminate": contamination.OP4_SQL,
+    "op11_ns_bounds": nsbounds.OP11_SQL,
+    "op12_prefix_trie": prefixtrie.OP12_SQL,
     "op13_rendezvous_shards": sharding.OP13_SQL,
 }
