@@ -37,8 +37,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _MUL = 0x9E3779B97F4A7C15
-_INV = pow(_MUL, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Pieces of 8 bytes that are hashed at once; masks that leave the first 0 to 8 bytes of one.
+PIECES = 1 << 19
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,25 +57,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-#: A random 64-bit value for each byte, one table as is and one with A-Z read as a-z.
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MUL))
-BYTE_VALUE_LOWER = BYTE_VALUE[LOWER]
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        have = np.empty(size, dtype=np.uint64)
-        have[0] = 1
-        have[1:] = np.uint64(base)
-        np.multiply.accumulate(have, out=have)
-        if n <= SLICE_BYTES + 1:
-            _powers[base] = have
-    return have[:n]
-
-
 class Texts:
     """The texts of one slice as bytes: text i is ``data[lo[i]:hi[i]]``; null reads as empty."""
 
@@ -138,17 +120,28 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of every span ``data[start:end]``, from one running sum over the bytes."""
-    n = len(data)
+    """A 64-bit hash of every span ``data[start:end]``: its 8-byte pieces are mixed apart, each with its
+    place in the span, and then added up."""
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    run = np.empty(n + 1, dtype=np.uint64)
-    run[0] = 0
-    np.multiply((BYTE_VALUE_LOWER if lower else BYTE_VALUE)[data], _power(_MUL, n), out=run[1:])
-    np.cumsum(run, out=run)
-    h = run[end] - run[start]
-    h *= _power(_INV, n + 1)[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = end - start
+    pieces = np.maximum(1, -(-size // 8))
+    first = np.cumsum(pieces) - pieces
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = LOWER[data] if lower else data
+    at_any = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    total = np.empty(len(start), dtype=np.uint64)
+    a = 0
+    while a < len(start):  # some pieces at a time
+        b = max(a + 1, int(np.searchsorted(first, first[a] + PIECES, side="right")) - 1) if first[-1] + pieces[-1] - first[a] > PIECES else len(start)
+        n = pieces[a:b]
+        nth = np.arange(n.sum()) - np.repeat(first[a:b] - first[a], n)
+        value = at_any[np.repeat(start[a:b], n) + 8 * nth].view("<u8").ravel()
+        value &= _TAIL[np.clip(np.repeat(size[a:b], n) - 8 * nth, 0, 8)]
+        value = mix(value + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(_MUL))
+        total[a:b] = np.add.reduceat(value, first[a:b] - first[a])
+        a = b
+    return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
