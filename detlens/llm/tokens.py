@@ -14,7 +14,8 @@ writes, names them.
 
 Tokenising: the tokenizer splits a text before it merges, and a single space between two visible
 characters always begins a new piece. So a text is cut there, equal pieces of a batch are encoded
-once, and the ids are put together again; the result is that of encoding the whole text.
+once, and the ids are put together again; the result is that of encoding the whole text. A text that
+holds one of the tokenizer's added tokens (such as its end-of-text string) is encoded in one piece.
 
 Cases: a null or empty text is the end id alone; a null key comes first in order; rows with
 equal keys follow each other in the order of their texts' hashes.
@@ -23,6 +24,7 @@ equal keys follow each other in the order of their texts' hashes.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import uuid
@@ -72,8 +74,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 # --- tokenising -----------------------------------------------------------------------------
 
 
-def _cuts(texts: C.Texts) -> np.ndarray:
-    """Where a piece starts: at texts' starts, at a single space between visible characters, after
+def _cuts(texts: C.Texts, added: re.Pattern | None = None) -> np.ndarray:
+    """Where a piece starts (a text that holds a token of the tokenizer's added ones is one piece): at texts' starts, at a single space between visible characters, after
     a single newline between them, and at ASCII punctuation that follows a letter. Visible here:
     printable ASCII, or U+00C0 to U+027F; letters are those of these ranges."""
     d = texts.data
@@ -92,6 +94,10 @@ def _cuts(texts: C.Texts) -> np.ndarray:
         sign[1:] &= d[:-1] == 0xC3  # the signs for times and divided by
         letter = _LETTER[d] | (tail & ~sign)
         cut[1:n] |= letter[:-1] & visible[1:] & ~_LETTER[d[1:]] & ~_DIGIT[d[1:]]
+    if added:
+        found = np.fromiter((m.start() for m in added.finditer(d.tobytes())), dtype=np.int64)
+        for i in np.unique(np.searchsorted(texts.lo, found, side="right") - 1):
+            cut[texts.lo[i]: texts.hi[i]] = False
     cut[texts.lo] = True
     cut[n] = False
     return np.flatnonzero(cut)
@@ -105,7 +111,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self._forget()
 
     def _forget(self) -> None:
@@ -134,7 +141,7 @@ class Encoder:
         """(ids, number of ids of each text) of a slice, without end ids."""
         if not len(texts.data):
             return np.zeros(0, dtype=np.uint16), np.zeros(len(texts), dtype=np.int64)
-        start = _cuts(texts)
+        start = _cuts(texts, self.added)
         end = np.append(start[1:], len(texts.data))
         hashes = C.span_hashes(texts.data, start, end)
         long = np.flatnonzero(end - start > PIECE_BYTES)
@@ -374,7 +381,6 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
     held = shared_path(spark, "token-ids")
     tokenise(docs, path, key, text, end_id).write.option("compression", "zstd").parquet(held)
     rows = spark.read.parquet(held)
-    _release(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, dtype=np.int64)
@@ -429,11 +435,6 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
                        .mapInArrow(encode, "path string, docs long, ids long, bytes long"), "token-manifest")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the finished shuffle's files now: its cleaner follows the driver's garbage collection."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def read(paths: DataFrame, files: int, key: str = "doc_id", ids: bool = True) -> DataFrame:
     """(key, start, n_tokens, ids_crc32[, ids]) per document of the files in column ``path``."""
 

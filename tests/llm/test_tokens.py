@@ -10,7 +10,7 @@ from detlens.llm import tokens as T
 
 PATH = T.tokenizer_path()
 ODD = ["", " ", "\n", "a b", "a  b", " a", "a ", "it's a dog's", "x\n\ny", "x\n y", "x \ny", "é è", "日本 語 x", "a b c", "12 34 5,6",
-       "word,\nNext  two", "<|endoftext|> a", "\t a\tb", "a\r\nb c", "x" * 500 + " y", "a×, b÷. c", "don't, we'll. x's", "ab_c-d (e) \"f\" g",
+       "word,\nNext  two", "<|endoftext|> a", "hello <|endoftext|> world", "a<|endoftext|>b, c d<|endoftext|><|endoftext|>\n", "<|endoftext", "|> x y", "<|ENDOFTEXT|> a", "\t a\tb", "a\r\nb c", "x" * 500 + " y", "a×, b÷. c", "don't, we'll. x's", "ab_c-d (e) \"f\" g",
        "é, è. ß;", "x', y", "ŉn, ɏ. ȁ!", "á b́, c", "\U0001f600 \U0001f600, a", "a\x85b  c", "1a, a1. 2"]
 
 
@@ -19,7 +19,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -34,7 +33,7 @@ def encode(texts):
 
 def test_pieces_give_the_ids_of_the_whole_text(reference, spark, sf_dir, monkeypatch):
     rng = random.Random(1)
-    parts = ["a", "é", "×", " ", " ", "\n", ".", ",", "'", "'s", "1", "日", " ", "\t", "ab", "Zz", "-", "́", "ʼ"]
+    parts = ["a", "é", "×", " ", " ", "\n", ".", ",", "'", "'s", "1", "日", " ", "\t", "ab", "Zz", "<|endoftext|>", "-", "́", "ʼ"]
     texts = ODD + ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(500)]
     texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     assert [x.tolist() for x in encode(texts)] == [reference(t) for t in texts]
