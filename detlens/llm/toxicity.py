@@ -6,7 +6,7 @@ pools the states and inputs of a window into one score. A document's score is th
 worst window; all windows of the whole text, one every ``STRIDE`` words, are scored.
 
 Training takes at most ``TRAIN_DOCS`` labelled documents and ``TRAIN_BYTES`` of their text (in
-the order of a hash of the key, those with ``crc32(key) mod 4 = 2`` left out) to the driver.
+the order of a hash of the key, those with ``crc32(key) mod 4 = 2`` left out) to one task.
 A label holds for a whole document, so every step trains on the document's worst window under
 the current weights. One dimension of either embedding is fixed: the smoothed log-odds of the word
 or the n-grams, which a training document takes from the other half of the documents.
@@ -18,6 +18,7 @@ several labels for one document count as toxic if one is; repeated rows get equa
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,20 +56,21 @@ class Features:
             i = j
         start, end, self.count, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.first = np.cumsum(self.count) - self.count
-        self.code, unique = pd.factorize(hashes)
+        code, unique = pd.factorize(hashes)
+        self.code = code.astype(np.int32)
         at = np.empty(len(unique), dtype=np.int64)
         at[self.code[::-1]] = np.arange(len(hashes))[::-1]
         size = end[at] - start[at]
         end = np.cumsum(size)  # from here on in the distinct words' own bytes
         data = texts.data[np.arange(size.sum()) + np.repeat(start[at] - end + size, size)]
         start = end - size
-        self.word = (unique & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
+        self.word = (unique & np.uint64(WORD_BUCKETS - 1)).astype(np.uint16)
         heads = [C.span_hashes(data, start, np.minimum(start + n, end), lower=True) + _PREFIX for n in (3, 4, 5)]
         self.n_grams = np.maximum(0, size - 3)
         total = np.cumsum(self.n_grams)
         pos = np.arange(self.n_grams.sum()) + np.repeat(start - total + self.n_grams, self.n_grams)
         grams = C.span_hashes(data, pos, pos + 4, lower=True)
-        bucket = lambda h: (C.mix(h) & np.uint64(CHAR_BUCKETS - 1)).astype(np.int64)
+        bucket = lambda h: (C.mix(h) & np.uint64(CHAR_BUCKETS - 1)).astype(np.uint16)
         self.heads, self.grams = np.stack([bucket(h) for h in heads], axis=1), bucket(grams)
         self.grams_first = total - self.n_grams
 
@@ -319,14 +321,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
              .select("key", "label", "text", F.octet_length("text").cast("long").alias("n")))
     # Documents of a fair share of the bound are always taken whole; a longer one has no place in the sample.
     taken = sized.filter(F.col("n") <= bytes_bound // max(1, docs_bound) * 8).orderBy(F.xxhash64("key"), "key", "text").limit(docs_bound)
-    texts, values, total = [], [], 0
-    for r in taken.select("label", "text", "n").toLocalIterator():
-        if total + r["n"] > bytes_bound:
-            break
-        texts.append(r["text"])
-        values.append(r["label"])
-        total += r["n"]
-    return train(texts, np.array(values))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, values, total = [], [], 0
+        for batch in batches:
+            for label, content, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total += n
+                if total <= bytes_bound:
+                    texts.append(content)
+                    values.append(label)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(values)))])], names=["network"])
+
+    # The sample is in one partition, in order; one task trains, and the driver gets the weights alone.
+    return pickle.loads(taken.select("label", "text", "n").coalesce(1).mapInArrow(learn, "network binary").first()["network"])
 
 
 def score(rows: DataFrame, network: Network, key: str = "key", text: str = "text") -> DataFrame:
