@@ -4,7 +4,7 @@ Every line is hashed; a rolling hash over the last ``WINDOW`` line hashes ends a
 is 0 modulo ``DIVISOR``, so boundaries depend on nearby lines only and survive shifts. Chunks
 with two lines or more that aren't blank are compared over all documents: equal digests are
 candidates, and a chunk is removed if its bytes equal those of the first occurrence (the
-smallest key, then the first place in the document), which stays.
+smallest key, then the smallest digest of the text, then the first place in it), which stays.
 
 All chunks are made inside the row of their document. Digests are pre-aggregated before the
 shuffle; the joins read from tables, so that Spark can split a digest that many rows share.
@@ -36,8 +36,10 @@ def _ends(hashes: str) -> Column:
 
 
 def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, lines, chunks): chunks of (idx, n, body), their lines joined again."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("lines", F.split("text", "\n"))
+    """(key, row, text, lines, chunks): ``row`` is a digest of the text, which tells rows of one key apart; chunks are
+    (idx, n, body), their lines joined again."""
+    rows = docs.select(F.col(key).alias("key"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("row"),
+                       F.col(text).alias("text")).withColumn("lines", F.split("text", "\n"))
     line_hash = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
     rows = rows.withColumn("hashes", line_hash).withColumn("ends", _ends("hashes"))
 
@@ -48,34 +50,33 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         return F.struct(j.cast("int").alias("idx"), (end - start + 1).cast("int").alias("n"),
                         full.alias("full"), F.array_join(part, "\n").alias("body"))
 
-    return rows.withColumn("chunks", F.transform("ends", chunk)).select("key", "text", "lines", "chunks")
+    return rows.withColumn("chunks", F.transform("ends", chunk)).select("key", "row", "text", "lines", "chunks")
 
 
 def repeated(chunks: DataFrame) -> DataFrame:
-    """(key, idx, n) of the chunks to remove, from (key, idx, n, body)."""
+    """(key, row, idx, n) of the chunks to remove, from (key, row, idx, n, body)."""
     marked = chunks.withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
+    place = F.struct(F.col("key").isNull().alias("unnamed"), "key", "row", "idx")
     shared, n_shared = C.counted(
-        marked.groupBy("digest").agg(F.min("key").alias("first_key"), F.count("*").alias("times"))
+        marked.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("times"))
         .filter("times > 1").drop("times"), "digests")
-    again = materialize(marked.join(C.maybe_broadcast(shared, n_shared, 64), "digest"), "repeated")
-    first = (again.filter(F.col("key").eqNullSafe(F.col("first_key"))).groupBy("digest")
-             .agg(F.min(F.struct("idx", "body")).alias("first")).select("digest", "first.idx", "first.body")
-             .withColumnsRenamed({"idx": "first_idx", "body": "first_body"}))
-    first = materialize(first, "firsts")
-    here = F.col("key").eqNullSafe(F.col("first_key")) & (F.col("idx") == F.col("first_idx"))
-    return again.join(first, "digest").filter(~here & (F.col("body") == F.col("first_body"))).select("key", "idx", "n")
+    again = materialize(marked.join(C.maybe_broadcast(shared, n_shared, 96), "digest"), "repeated")
+    here = place == F.col("first")
+    first = materialize(again.filter(here).groupBy("digest").agg(F.min("body").alias("first_body")), "firsts")
+    return again.join(first, "digest").filter(~here & (F.col("body") == F.col("first_body"))).select("key", "row", "idx", "n")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_lines, n_chunks, removed_chunks, removed_lines, text) for every document."""
     parts = chunked(docs, key, text)
-    multi = parts.select("key", F.explode(F.filter("chunks", lambda c: c["full"] >= 2)).alias("c")).select("key", "c.idx", "c.n", "c.body")
-    gone = materialize(repeated(multi).distinct().groupBy("key").agg(
+    multi = (parts.select("key", "row", F.explode(F.filter("chunks", lambda c: c["full"] >= 2)).alias("c"))
+             .select("key", "row", "c.idx", "c.n", "c.body"))
+    gone = materialize(repeated(multi).distinct().groupBy("key", "row").agg(
         F.collect_list("idx").alias("gone"), F.sum("n").alias("gone_lines")), "gone")
     n = gone.count()
     # The two sides of the join by a null key meet too: it is an ordinary key here.
-    out = parts.join(C.maybe_broadcast(gone.withColumnRenamed("key", "gone_key"), n, 96),
-                     F.col("key").eqNullSafe(F.col("gone_key")), "left")
+    out = parts.join(C.maybe_broadcast(gone.withColumnsRenamed({"key": "gone_key", "row": "gone_row"}), n, 112),
+                     F.col("key").eqNullSafe(F.col("gone_key")) & (F.col("row") == F.col("gone_row")), "left")
     left = F.filter("chunks", lambda c: ~F.array_contains("gone", c["idx"]))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["body"]), "\n"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")

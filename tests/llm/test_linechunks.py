@@ -74,3 +74,17 @@ def test_odd_rows(spark, odd, nothing):
     by = {r.doc_id: r for r in rows if r.doc_id is not None}
     assert by[1].text is None and by[2].text == "" and by[9].removed_chunks == 0 and by[10].removed_lines > 1000
     assert L.remove_repeats(nothing).collect() == []
+
+
+def test_rows_of_one_key_keep_their_own_lines(spark):
+    """A chunk is removed from the row that has it, not from another row of the same key or without one."""
+    rng = random.Random(4)
+    shared = [f"shared {i}" for i in range(60)]
+    own = [[f"own {k} {rng.randrange(10**9)}" for _ in range(60)] for k in range(3)]
+    text = "\n".join
+    rows = [(1, text(shared)), (2, text(shared)), (2, text(own[0])), (None, text(shared)), (None, text(own[1])), (None, text(own[2]))]
+    rows += [(None, text([f"line {i} of row {k}" for i in range(20)])) for k in range(1000)]
+    got = L.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    texts = [r.text for r in got]
+    assert len(got) == len(rows) and all(texts.count(t) == 1 for _, t in rows if t != text(shared))
+    assert texts.count(text(shared)) == 1 and sum(r.removed_lines > 40 for r in got) == 2
