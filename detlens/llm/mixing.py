@@ -11,7 +11,7 @@ into about sqrt(n) ranges of a source's n documents: one window adds up the rang
 another one the documents of a range, so either holds about sqrt(n) rows.
 
 Cases: null text has size 0 and takes no words; a null source is a source of its own, last in
-order; a null id is an id of its own; repeated rows are taken like any other rows (equal rows
+order; a document without an id draws by its text; repeated rows are taken like any other rows (equal rows
 are interchangeable); with no words at all every target is 0.
 """
 
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, key: str = "doc_id",
         sized = sized.join(q, F.col("key") == F.col("_key"), "left").drop("_key")
     else:
         sized = sized.withColumn("quality", F.lit(None).cast("double"))
-    name = F.concat(F.lit(SEED + "/"), F.coalesce(F.col("key").cast("string"), F.lit("")))
+    name = F.concat(F.lit(SEED + "/"), F.coalesce(F.col("key").cast("string"), F.concat(F.lit("text/"), F.col("text_hash").cast("string"))))
     u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     drawn = sized.withColumn("draw", -F.log(u) / F.coalesce("quality", F.lit(UNKNOWN)))
 

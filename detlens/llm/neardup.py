@@ -105,12 +105,12 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 if len(full):
                     packed[full] = _signatures(hashes, first[full])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(sizes),
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(sizes),
                      *(pa.array(packed[:, i]) for i in range(packed.shape[1]))],
-                    names=["key", "set_id", "n_shingles", *_SIGNATURE])
+                    names=["key", "text_hash", "set_id", "n_shingles", *_SIGNATURE])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, C.with_key(rows, "set_id binary, n_shingles long, " + ", ".join(f"{s} long" for s in _SIGNATURE)))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, C.with_key(rows, "text_hash long, set_id binary, n_shingles long, " + ", ".join(f"{s} long" for s in _SIGNATURE)))
 
 
 def _component(i: int) -> Column:
@@ -137,9 +137,11 @@ def _distance(a: str, b: str) -> Column:
 
 def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """(node, full): the sorted shingle hashes of the classes named by ``nodes``, read again from one text each."""
-    wanted, n = C.counted(nodes.join(classes.select("node", "set_id", F.col("first_key").alias("key")), "node"), "wanted")
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    texts = rows.join(C.maybe_broadcast(wanted, n), rows["doc"].eqNullSafe(wanted["key"])).select("node", "set_id", "text")
+    wanted, n = C.counted(nodes.join(classes.select("node", "set_id", F.col("first_key").alias("key"), "text_hash"), "node"), "wanted")
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    # By the text, too: rows of one key, or without any, may have many texts.
+    same = rows["doc"].eqNullSafe(wanted["key"]) & (rows["hash"] == wanted["text_hash"])
+    texts = rows.join(C.maybe_broadcast(wanted, n), same).select("node", "set_id", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +230,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
                     similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every document; ``similarity`` is a fraction."""
     signed = materialize(signatures(docs, key, text, shingle), "signatures")
+    least = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "text_hash"))
     classes = materialize(
         signed.filter(F.col("set_id").isNotNull()).groupBy("set_id")
-        .agg(F.min("key").alias("first_key"), *(F.first(s).alias(s) for s in _SIGNATURE))
+        .agg(least.alias("least"), *(F.first(s).alias(s) for s in _SIGNATURE))
+        .select("set_id", F.col("least.key").alias("first_key"), "least.text_hash", *_SIGNATURE)
         .withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = classes.select("node", _keys().alias("k"))
     shared, n_shared = C.counted(

@@ -16,26 +16,28 @@ from detlens.session import shared_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that score as toxic."""
+    """Drop the documents that score as toxic. Texts without words score 0 and stay; repeated rows share a fate; without
+    labels of both kinds every text with words scores the share of toxic labels."""
     network = toxicity.fit(docs, C.table(spark, sf_dir, "labels"))
     return toxicity.score(C.packed(docs), network).filter(F.col("score") < toxicity.THRESHOLD).select("key.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, and one row of each key.
+    """Keep one document of each group of near duplicates, whatever its id.
 
-    Rows without a key can't be told apart by it; of those with equal texts one stays."""
-    kept = (neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct())
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("_key"),
-                       F.xxhash64("text").alias("_text"))
-    rows = rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
-    rows = rows.withColumn("_unnamed", F.when(F.col("_key").isNull(), F.col("_text")))
-    nth = F.row_number().over(Window.partitionBy("_key", "_unnamed").orderBy("_text"))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select("row.*")
+    Documents are told apart by id and text, so several texts of one id, or of none, are judged each by
+    itself; of rows with equal id and text one stays."""
+    rows = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("_document"),
+                       F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = neardup.near_duplicates(rows.select("_document", F.col("row.text").alias("text")), key="_document")
+    kept = found.filter("kept").select("_document").distinct()
+    # Equal rows are pre-aggregated before the shuffle, which serves the join as well.
+    return rows.groupBy("_document").agg(F.first("row").alias("row")).join(kept, "_document", "left_semi").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the benchmark contaminates."""
+    """Drop the documents that the benchmark contaminates. Texts without words, and all texts if the benchmark is empty,
+    stay; repeated rows share a fate."""
     found = contamination.scan(C.packed(docs), C.table(spark, sf_dir, "benchmark"), key="key")
     return contamination.decide(found).filter(~F.col("contaminated")).select("key.*")
 
@@ -57,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token-id files and return what they hold: (doc_id, start, n_tokens, ids_crc32)."""
+    """Write token-id files and return what they hold: (doc_id, start, n_tokens, ids_crc32), a row for every document; a
+    null or empty text is its end id alone, an empty table has no files and gives no rows."""
     manifest = tokens.write(docs, shared_path(spark, "tokens"), tokens.tokenizer_path())
     return tokens.read(manifest, manifest.count(), ids=False)

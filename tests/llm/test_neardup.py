@@ -76,3 +76,17 @@ def test_odd_rows(spark, odd):
 
 def test_empty_table(spark, nothing):
     assert N.near_duplicates(nothing).collect() == []
+
+
+def test_many_rows_without_a_key(spark):
+    """They are told apart by their texts, and no pairs of rows are made to find a set again."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(500):
+        w = [f"n{rng.randrange(10**5)}" for _ in range(40)]
+        rows += [(None, " ".join(w)), (None, " ".join(w[:-1] + [f"x{i}"]))]
+    rows += [(7, rows[0][1]), (8, "an id of two texts " * 9), (8, rows[2][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = N.near_duplicates(df, shingle=4).collect()
+    assert len(got) == len(rows) and all(r.n_shingles == 37 for r in got if r.doc_id is None)
+    assert sum(r.component_id == 7 for r in got) == 3 and sum(r.component_id == 8 for r in got) == 4

@@ -40,7 +40,7 @@ def folder(spark, tmp_path_factory):
 
 def test_stages_are_named_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == NAMES
-    assert queries.QUERIES.keys() >= {"op4_decontaminate", "op9_minhash_hamming"} and len(queries.QUERIES) == 10
+    assert queries.QUERIES.keys() >= {"op4_decontaminate", "op9_minhash_hamming"} and len(queries.QUERIES) == 13
 
 
 def test_decisions_take_effect(spark, folder):
@@ -56,6 +56,16 @@ def test_decisions_take_effect(spark, folder):
     assert all(df.columns == docs.columns for df in (clean, single, pure))
 
 
+def test_near_duplicates_are_rows_not_ids(spark, folder):
+    rng = random.Random(3)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " end"), (None, a + " other end"), (None, c), (None, c), (3, c + " end"), (1, a), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    kept = [(r.doc_id, r.text) for r in stages.drop_near_duplicates(spark, docs, folder).collect()]
+    groups = [[t for _, t in kept if t and t.startswith(x)] for x in (a, b, c)]
+    assert [len(g) for g in groups] == [1, 1, 1] and len(kept) == 5 and {(4, None), (4, ""), (1, b)} <= set(kept)
+
+
 def test_mixing_repeats_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     twice = docs.unionByName(docs.filter("doc_id < 3"))
@@ -77,7 +87,7 @@ def test_stages_on_odd_rows(spark, folder, odd, nothing):
         out.collect()
         assert stage(spark, nothing, folder).count() == 0
     kept = [r.doc_id for r in stages.drop_near_duplicates(spark, odd, folder).collect()]
-    assert sorted(i for i in kept if i is not None) == [1, 2, 3, 4, 5, 6, 9, 11, 12]
+    assert sorted(i for i in kept if i is not None) == [1, 2, 3, 4, 5, 6, 9, 11, 12, 12]  # two texts have the id 12
     assert stages.write_tokens(spark, odd, folder).count() == odd.count()
 
 
