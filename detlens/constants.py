@@ -67,6 +67,10 @@ PREDICTION_COLUMNS = ("grammatical_pred", "prediction")
 ERROR_NO_TRUTH = "Could not detect ground-truth column"
 ERROR_NO_PREDICTION = "Could not detect prediction column"
 ERROR_EMPTY_FILE = "No columns to parse from file"
+# Errors whose message in the reference goes on with a line or a byte of the file.
+ERROR_OPEN_QUOTE = "Error tokenizing data. C error: EOF inside string"
+ERROR_TOO_MANY_FIELDS = "Error tokenizing data. C error: Expected fewer fields"
+ERROR_CHARSET = "'utf-8' codec can't decode"
 
 BENCHMARK_COLUMNS = ("sentence", "noun_phrase", "grammatical", "corrected")
 PREDICTION_TABLE_COLUMNS = BENCHMARK_COLUMNS + ("grammatical_pred", "correction")

@@ -562,14 +562,8 @@ def sql_parse_iob_reply():
 
 
 def sql_detect_with_tags():
-    # A broken-off reply has tags for the first half of the words; the others never trigger.
-    has_n = "(doc_id % 5 <> 0 OR pos + 1 < n_words // 2)"
-    parts = [
-        f"SELECT doc_id, pos, w, n, {lit(d)} AS det, m_ppl1 / 100.0 AS ppl1, m_ppl2 / 100.0 AS ppl2 FROM flags2 "
-        f"JOIN (SELECT doc_id, pos, n_words FROM tok) USING (doc_id, pos) WHERE missing_{d} AND {has_n}"
-        for d in K.DETERMINERS
-    ]
-    return with_views(*DETECT_VIEWS) + "\nUNION ALL\n".join(parts)
+    # The replies spell words in their own way; tags are bound by position, so they are the rule tagger's.
+    return sql_missing_determiner()
 
 
 REGISTRY = {

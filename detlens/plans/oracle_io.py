@@ -66,6 +66,8 @@ SELECT DISTINCT 'script=' || script || '/run=' || CAST(run AS VARCHAR) AS file,
 FROM runs WHERE run % 3 = 2
 UNION ALL SELECT 'script=odd/artifact=header{K.PREDICTIONS_SUFFIX}/run=0', 0, 0, 0, 0, 0, NULL
 UNION ALL SELECT 'script=odd/artifact=empty{K.PREDICTIONS_SUFFIX}/run=0', NULL, NULL, NULL, NULL, NULL, 'No columns to parse from file'
+UNION ALL SELECT 'script=odd/artifact=' || name || '{K.PREDICTIONS_SUFFIX}/run=0', NULL, NULL, NULL, NULL, NULL, error
+FROM (VALUES ('quote', {lit(K.ERROR_OPEN_QUOTE)}), ('long', {lit(K.ERROR_TOO_MANY_FIELDS)}), ('bytes', {lit(K.ERROR_CHARSET)})) AS broken(name, error)
 """
 
 

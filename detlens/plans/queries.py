@@ -262,12 +262,12 @@ def annotate(spark, sf_dir):
 
 def detect_with_tags(spark, sf_dir):
     """The detector with tags from a model's replies: POS prompt, scoring seam, reply parse, and
-    a join of the parsed tags to the tokens. Every fifth reply breaks off half-way."""
+    a join of the parsed tags to the tokens by position. The replies spell words in their own way."""
     words = V.english_words(spark, sf_dir)
     prompts = words.select("doc_id", PR.pos_prompt(F.array_join("words", " ")).alias("prompt"))
     replies = batch_score(prompts, TaggingScorer)
     tags = replies.select("doc_id", F.posexplode(R.parse_pos_reply("reply")).alias("pos", "t")).select(
-        "doc_id", F.col("pos").cast("bigint").alias("pos"), "t.word", "t.tag")
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), "t.tag")
     model = D.BigramModel(V.tokens_ctx(words))
     model.trans = LM.transitions(D.with_tags(model.ctx, materialize(tags, "tags")))
     return D.missing_determiners(D.determiner_flags(model))
@@ -315,18 +315,18 @@ def _relative_file(col: str = "file"):
 
 
 def scan_csv_quoted(spark, sf_dir):
-    """Conversations (multi-line text, quotes) through a CSV write and a multiLine read."""
+    """Conversations (multi-line text, quotes) through a CSV write and a read by splits."""
     conv = V.table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "role", "text"
     )
     path = shared_path(spark, "conversations-csv")
     SNK.write_csv(conv, path, emptyValue='""')
-    return SRC.read_csv(spark, path).select("conv_id", "turn", "role", "text")
+    return SRC.read_csv(spark, path, columns=["conv_id", "turn", "role", "text"])
 
 
 def scan_csv_encoding(spark, sf_dir):
     """Documents written in three charsets and two column orders, read back with a decision per
-    file. A text that is a missing-value string reads as NULL."""
+    file. A text that is a missing-value string reads as NULL. The folders' names hold a blank and a percent sign."""
     docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     docs = docs.withColumn("text", F.when(F.col("doc_id") % 50 == 7, F.lit("N/A")).when(
         F.col("doc_id") % 50 == 8, F.concat(F.lit("\u0081"), F.col("text"))).otherwise(F.col("text")))
@@ -334,8 +334,8 @@ def scan_csv_encoding(spark, sf_dir):
     for k, enc in enumerate(("utf-8", "cp1252", "latin1")):
         part = docs.filter(F.col("doc_id") % 3 == k)
         part = part.withColumn("text", F.replace("text", F.lit("\u0081"), F.lit(""))) if enc == "cp1252" else part
-        SNK.write_csv(part.select("text", "doc_id") if enc == "cp1252" else part, f"{root}/{enc}", encoding=enc, emptyValue='""')
-    return SRC.read_csv_any_encoding(spark, root).select("doc_id", "text")
+        SNK.write_csv(part.select("text", "doc_id") if enc == "cp1252" else part, f"{root}/100% {enc}", encoding=enc, emptyValue='""')
+    return SRC.read_csv_any_encoding(spark, root, columns=["doc_id", "text"])
 
 
 def tokenize_lines(spark, sf_dir):
@@ -347,19 +347,27 @@ def tokenize_lines(spark, sf_dir):
     return toks.select(F.md5("value").alias("line_id"), "pos", "w")
 
 
-def _with_odd_files(spark, root, script):
-    """Beside the predictions, a file of the header alone and one of a blank line."""
+def _with_odd_files(spark, root, script, broken=False):
+    """Beside the predictions, a file of the header alone and one of a blank line; ``broken`` adds files that can't be
+    read: one that ends within quotes, one with a record of too many fields, one that isn't UTF-8."""
     header = ",".join(K.PREDICTION_TABLE_COLUMNS)
-    for name, text in (("header", [(header,)]), ("empty", [("",)])):
-        path = f"{root}/script={script}/artifact={name}{K.PREDICTIONS_SUFFIX}/run=0"
-        spark.createDataFrame(text, "value string").coalesce(1).write.text(path)
+    row = "s,np,yes,np,yes,np"
+    files = {"header": [header], "empty": [""]}
+    if broken:
+        files |= {"quote": [header, row, row[:-2] + '"np', row], "long": [header, row, row + ",np"]}
+    at = lambda name: f"{root}/script={script}/artifact={name}{K.PREDICTIONS_SUFFIX}/run=0"
+    for name, lines in files.items():
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(at(name))
+    if broken:
+        accents = spark.createDataFrame([("é", "np", "yes", "np", "yes", "np")], list(K.PREDICTION_TABLE_COLUMNS))
+        SNK.write_csv(accents.coalesce(1), at("bytes"), encoding="cp1252")
 
 
 def dir_scan_confusion(spark, sf_dir):
     """S6 + S5 + P17 + A3 + A4: predictions tables written per (script, artifact, run),
     scanned recursively by glob, raw lines classified, metrics per file. A file without data
-    lines counts zero."""
-    root = shared_path(spark, "predictions")
+    lines counts zero. The folder's name holds a blank and a percent sign."""
+    root = f"{shared_path(spark, 'predictions')}/all runs 100%"
     SNK.write_predictions(V.runs(_words(spark, sf_dir)), root)
     _with_odd_files(spark, root, "odd")
     lines = SRC.scan_prediction_dir(spark, root).withColumn("cls", LN.classify_line("value"))
@@ -369,10 +377,11 @@ def dir_scan_confusion(spark, sf_dir):
 
 
 def detect_columns(spark, sf_dir):
-    """S7 + A2 + U2: files with three header variants, one of a header alone and one of a blank line; counts
-    where the columns are found, an error row where they are not."""
+    """S7 + A2 + U2: files with three header variants, one of a header alone, one of a blank line and three that can't be
+    read; counts where the columns are found, an error row where they are not. The folder's name holds a blank and a
+    percent sign."""
     runs = V.runs(_words(spark, sf_dir))
-    root = shared_path(spark, "mixed-headers")
+    root = f"{shared_path(spark, 'mixed-headers')}/all runs 100%"
     variant = F.col("run") % 3
     base = ("script", "run", "sentence", "noun_phrase")
     SNK.write_csv(runs.filter(variant == 0).select(*base, "grammatical", "grammatical_pred"), root,
@@ -382,7 +391,7 @@ def detect_columns(spark, sf_dir):
                   root, mode="append", partition_by=("script", "run"))
     SNK.write_csv(runs.filter(variant == 2).select(*base, "grammatical"), root, mode="append",
                   partition_by=("script", "run"))
-    _with_odd_files(spark, root, "odd")
+    _with_odd_files(spark, root, "odd", broken=True)
     files, rows = SRC.read_label_columns(spark, root)
     files = files.select(SRC.logical_file("path").alias("file"), "error").distinct()
     counts = M.confusion_columns(rows.withColumn("file", SRC.logical_file("path")), "truth", "pred", group=("file",))

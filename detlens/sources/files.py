@@ -2,17 +2,13 @@
 sentence-per-line text (S4), raw prediction lines (S5), recursive directory scans
 (S6) and per-file column detection (S7).
 
-Decisions that depend on file contents (charset, header) are made per line / per file on the
-executors. The files are then sorted into groups (one per charset and header) by copying their
-raw lines into one folder per group, so that no list of paths passes a single row or the
-driver; the driver sees the groups only.
+CSV goes through ``sources.csv_splits``: charset and header are decided for each file on the executors,
+one file is read by many tasks, and nothing is copied. Paths are compared without percent-encoding.
 """
 
 from __future__ import annotations
 
 import fnmatch
-import re
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +18,11 @@ from pyspark.sql import types as T
 from detlens import constants as K
 from detlens.functions.lines import is_data_line
 from detlens.functions.text import WS
-from detlens.session import materialize, shared_path
+from detlens.session import materialize
+from detlens.sources.csv_splits import CsvFiles, one_scheme, plain_path
 
+#: For Spark's own reader: folders of small files that Spark wrote, with partition columns.
 CSV_READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
-# Bytes cp1252 leaves undefined; a file holding one is read as latin1.
-CP1252_UNDEFINED_HEX = ("81", "8D", "8F", "90", "9D")
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
@@ -35,40 +31,51 @@ def missing_to_null(df: DataFrame) -> DataFrame:
                        if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def read_csv(spark: SparkSession, paths, encoding: str | None = None, missing: bool = True, **options) -> DataFrame:
-    """Header, RFC-4180 quotes and embedded newlines; every column a string, missing-value
-    strings NULL (``missing=False`` keeps them)."""
-    reader = spark.read.options(**CSV_READ_OPTIONS)
-    if encoding:
-        reader = reader.option("encoding", encoding)
-    if options:
-        reader = reader.options(**options)
-    df = reader.csv(paths if isinstance(paths, (list, tuple)) else [paths])
-    return missing_to_null(df) if missing else df
-
-
-def file_list(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path) of every file under ``root``, empty ones included. Contents are not read.
-
-    Spark's readers leave out files of length 0, so these are added from the folder's listing."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
-    empty = []
-    while found.hasNext():
-        f = found.next()
-        path = f.getPath()
-        hidden = any(part.startswith(("_", ".")) for part in path.toString()[len(root.rstrip("/")):].split("/"))
-        if f.getLen() == 0 and not hidden and (not glob or fnmatch.fnmatch(path.getName(), glob)):
-            empty.append((path.toString(),))
+def read_csv(spark: SparkSession, paths, columns: list[str] | None = None, missing: bool = True) -> DataFrame:
+    """Header, RFC-4180 quotes and embedded newlines; every column a string, missing-value strings NULL
+    (``missing=False`` keeps them). UTF-8; a file may be read by many tasks. ``columns`` spares the look for them.
+    A file that can't be parsed is an error."""
+    root = paths if isinstance(paths, list) else [paths]
+    files = file_list(spark, root)
+    return _one_table(CsvFiles(spark, root, files), columns, missing)
+
+
+def _one_table(csv: CsvFiles, columns: list[str] | None, missing: bool) -> DataFrame:
+    """The rows of all files, each file's fields under its own names. A file in error fails the read; one without a
+    header has no rows."""
+    faulty = csv.files.filter(F.col("error").isNotNull() & (F.col("error") != K.ERROR_EMPTY_FILE)).orderBy("path").first()
+    if faulty:
+        raise ValueError(f"{faulty['path']}: {faulty['error']}")
+    names = csv.column_names() if columns is None else columns
+    if not names:
+        return csv.spark.createDataFrame([], T.StructType([]))
+    rows = csv.rows(F.array(*[F.lit(n) for n in names]))
+    refused = F.raise_error(F.concat(F.col("path"), F.lit(f": {K.ERROR_TOO_MANY_FIELDS}"))).cast("array<string>")
+    rows = rows.select(F.when(F.col("extra") > 0, refused).otherwise(F.col("fields")).alias("fields"))
+    out = rows.select(*[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return missing_to_null(out) if missing else out
+
+
+def file_list(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
+    """(path) of every file under ``paths``, empty ones included, from the listing that Spark makes for any read.
+    Contents are not read, and names pass the driver only if some files are empty."""
+    root = paths if isinstance(paths, list) else [paths]
+    options = {"recursiveFileLookup": "true"} | ({"pathGlobFilter": glob} if glob else {})
     try:
-        filled = reader.load(root).select("path")
-    except AnalysisException:  # nothing but empty files
-        return spark.createDataFrame(empty, "path string")
-    return filled.unionByName(spark.createDataFrame(empty, "path string"))
+        filled = spark.read.format("binaryFile").options(**options).load(root).select(one_scheme(F.col("path")).alias("path"))
+        n_filled = filled.count()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise
+        filled, n_filled = spark.createDataFrame([], "path string"), 0
+    # Spark's readers pass over files of length 0, but their listing has them.
+    listed = spark.read.options(**options).text(root)._jdf.inputFiles()
+    if len(listed) == n_filled:
+        return filled
+    # One call, not one for each file.
+    every = spark.sparkContext._jvm.org.apache.hadoop.util.StringUtils.join("\n", listed)
+    names = spark.createDataFrame([(every,)], "names string").select(F.explode(F.split("names", "\n")).alias("path")).filter("path <> ''")
+    return filled.unionByName(names.select(plain_path("path").alias("path")).join(filled, "path", "left_anti"))
 
 
 def file_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -76,88 +83,24 @@ def file_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    return reader.text(root).select("value", plain_path("_metadata.file_path").alias("path"))
+
+
+#: The charsets that are tried in this order.
+CHARSETS = ("utf-8", "cp1252", "latin1")
 
 
 def detect_encodings(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(path, encoding) per file: utf-8 when every line is valid UTF-8, otherwise
     cp1252, or latin1 when a byte that cp1252 leaves undefined occurs anywhere in the file."""
-    lines = file_lines(spark, root, glob)
-    undefined = F.hex("value").rlike("^(?:..)*?(?:" + "|".join(CP1252_UNDEFINED_HEX) + ")")
-    per_file = lines.groupBy("path").agg(
-        F.max((~F.is_valid_utf8("value")).cast("int")).alias("_bad"), F.max(undefined.cast("int")).alias("_undef"))
-    chosen = (F.when(F.coalesce("_bad", F.lit(0)) == 0, F.lit("utf-8"))
-              .when(F.col("_undef") == 1, F.lit("latin1")).otherwise(F.lit("cp1252")))
-    return file_list(spark, root, glob).join(per_file, "path", "left").select("path", chosen.alias("encoding"))
-
-
-def file_headers(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, header): the first line of every file, read where the file's first split is
-    (the row order within a split follows the file); NULL for an empty file."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    lines = (reader.text(root)
-             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-             .filter("start = 0").withColumn("_rid", F.monotonically_increasing_id()))
-    first = lines.groupBy("path").agg(F.min_by("value", "_rid").alias("header"))
-    return file_list(spark, root, glob).join(first, "path", "left")
-
-
-def _grouped_reads(spark: SparkSession, files: DataFrame, by: list[str]):
-    """For every distinct ``by``: (its values, the CSV rows of its files with their ``path``).
-
-    The raw files of each group are gathered into one folder, one file each, by a map from files to
-    copies; the driver sees one row per group.
-    """
-    home = shared_path(spark, "file-groups")
-    tagged = materialize(files.withColumn("_group", F.sha1(F.to_json(F.struct(*by)))), "file-choices")
-
-    def copy(batches):
-        import hashlib
-
-        import pyarrow as pa
-        import pyarrow.fs as pafs
-
-        def at(path):
-            if re.match("[a-z0-9+.-]+:", path, re.I):
-                uri = unquote(path) if path.startswith("file:") else path
-                return pafs.LocalFileSystem(), re.sub("^file:/*", "/", uri) if uri.startswith("file:") else None
-            return pafs.LocalFileSystem(), path
-
-        for batch in batches:
-            names = []
-            for path, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (src, a), (dst, b) = at(path), at(home)
-                if a is None or b is None:
-                    (src, a), (dst, b) = pafs.FileSystem.from_uri(path), pafs.FileSystem.from_uri(home)
-                name = hashlib.sha1(path.encode()).hexdigest() + ".csv"
-                dst.create_dir(f"{b}/{group}", recursive=True)
-                pafs.copy_files(a, f"{b}/{group}/{name}", source_filesystem=src, destination_filesystem=dst)
-                names.append(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string())],
-                                             names=["path", "_group", "_name"])
-
-    copied = materialize(tagged.select("path", "_group").mapInArrow(copy, "path string, _group string, _name string"), "file-copies")
-    for g in tagged.groupBy("_group").agg(*[F.first(c).alias(c) for c in by]).collect():
-        rows = spark.read.options(**CSV_READ_OPTIONS)
-        if "encoding" in by:
-            rows = rows.option("encoding", g["encoding"])
-        rows = rows.csv(f"{home}/{g['_group']}")
-        named = rows.withColumn("_name", F.col("_metadata.file_name"))
-        yield g, missing_to_null(named.join(copied.filter(F.col("_group") == g["_group"]).select("_name", "path"), "_name").drop("_name"))
-
-
-def read_csv_any_encoding(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Every CSV under ``root`` with the charset chosen for it, grouped by charset and header, so that
+    found = CsvFiles(spark, root, file_list(spark, root, glob), glob, CHARSETS).files
+    return found.select("path", F.coalesce("charset", F.lit(CHARSETS[0])).alias("encoding"))
+
+
+def read_csv_any_encoding(spark: SparkSession, root: str, glob: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Every CSV under ``root`` with the charset chosen for it and under the names of its own header, so that
     files with other columns or another order of them keep theirs. No files: no columns, no rows."""
-    files = (detect_encodings(spark, root, glob).join(file_headers(spark, root, glob), "path")
-             .filter(F.col("header").isNotNull()))
-    out = None
-    for _, part in _grouped_reads(spark, files, ["encoding", "header"]):
-        part = part.drop("path")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], T.StructType([]))
+    return _one_table(CsvFiles(spark, root, file_list(spark, root, glob), glob, CHARSETS), columns, missing=True)
 
 
 def tokenize_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -202,29 +145,40 @@ def every_file(files: DataFrame, counts: DataFrame, columns=("tp", "fp", "fn", "
 
 
 def find_label_columns(header: Column, truth: str | None = None, pred: str | None = None) -> dict[str, Column]:
-    """The truth and prediction columns that a header line has, and an error if it lacks one.
+    """The truth and prediction columns that a header line has, and an error if it lacks one."""
+    names = F.transform(F.split(F.regexp_replace(header, "^\ufeff", ""), ","), lambda c: F.trim(F.trim(c), F.lit('"')))
+    found = label_columns(names, truth, pred)
+    empty = F.coalesce(F.trim(header), F.lit("")) == ""
+    return found | {"error": F.when(empty, F.lit(K.ERROR_EMPTY_FILE)).otherwise(found["error"])}
+
+
+def label_columns(names: Column, truth: str | None = None, pred: str | None = None) -> dict[str, Column]:
+    """The truth and prediction columns among ``names``, and an error if one is lacking.
 
     A role's candidates are the caller's name and the usual ones, in this order; the first that the
     header has is taken."""
-    names = F.transform(F.split(F.regexp_replace(header, "^\ufeff", ""), ","), lambda c: F.trim(F.trim(c), F.lit('"')))
 
     def pick(given: str | None, usual) -> Column:
         wanted = F.array(*[F.lit(c) for c in ([given] if given else []) + list(usual)])
         return F.get(F.filter(wanted, lambda c: F.array_contains(names, c)), 0)
 
     t, p = pick(truth, K.TRUTH_COLUMNS), pick(pred, K.PREDICTION_COLUMNS)
-    error = (F.when(F.coalesce(F.trim(header), F.lit("")) == "", F.lit(K.ERROR_EMPTY_FILE)).when(t.isNull(), F.lit(K.ERROR_NO_TRUTH))
-             .when(p.isNull(), F.lit(K.ERROR_NO_PREDICTION)))
+    error = F.when(t.isNull(), F.lit(K.ERROR_NO_TRUTH)).when(p.isNull(), F.lit(K.ERROR_NO_PREDICTION))
     return {"truth_column": t, "pred_column": p, "error": error}
 
 
-def read_label_columns(spark: SparkSession, root: str, truth: str | None = None, pred: str | None = None):
+def read_label_columns(spark: SparkSession, root: str, truth: str | None = None, pred: str | None = None, glob: str | None = None):
     """Every CSV under ``root``: (files, rows) with files (path, error) complete, in rows
-    (path, truth, pred) those of the files without an error."""
-    found = file_headers(spark, root)
-    files = materialize(found.select("path", "header", *[c.alias(k) for k, c in
-                        find_label_columns(F.col("header"), truth, pred).items()]), "label-columns")
-    rows = spark.createDataFrame([], "path string, truth string, pred string")
-    for g, part in _grouped_reads(spark, files.filter(F.col("error").isNull()), ["header", "truth_column", "pred_column"]):
-        rows = rows.unionByName(part.select("path", F.col(f"`{g['truth_column']}`").alias("truth"), F.col(f"`{g['pred_column']}`").alias("pred")))
-    return files.select("path", "error"), rows
+    (path, truth, pred) those of the files without an error.
+
+    A file that isn't UTF-8, ends within quotes, lacks a column or has a record with more fields than
+    its header is a row with an error, and none of its rows count; the others are read."""
+    csv = CsvFiles(spark, root, file_list(spark, root, glob), glob)
+    roles = label_columns(F.col("columns"), truth, pred)
+    csv.files = csv.files.withColumn("error", F.coalesce("error", roles["error"]))
+    rows = csv.rows(F.array(roles["truth_column"], roles["pred_column"]))
+    rows = materialize(rows.select("path", F.get("fields", F.lit(0)).alias("truth"), F.get("fields", F.lit(1)).alias("pred"), "extra"), "label-rows")
+    long = rows.filter("extra > 0").select("path").distinct().withColumn("_error", F.lit(K.ERROR_TOO_MANY_FIELDS))
+    files = csv.files.join(long, "path", "left").select("path", F.coalesce("error", "_error").alias("error"))
+    whole = rows.join(long.select("path"), "path", "left_anti")
+    return files, missing_to_null(whole.select("path", "truth", "pred"))
