@@ -148,3 +148,6 @@ REPLY_TEMPLATES = (
     "<EOT> no",
     "no is is {alt}",
 )
+
+# The stand-in language model's whole vocabulary (our choice).
+STAND_IN_VOCABULARY = ("a", "an", "and", "in", "is", "of", "that", "the", "to", "was")

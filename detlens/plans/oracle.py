@@ -566,6 +566,34 @@ def sql_detect_with_tags():
     return sql_missing_determiner()
 
 
+def sql_detect_with_model():
+    def number(x, digits):
+        return f"CAST('0x' || substr(md5({x}), 1, {digits}) AS BIGINT)"
+
+    def prob(word):
+        return (f"(CASE WHEN {word} IN {in_list(K.STAND_IN_VOCABULARY)} THEN {number(f"w || '/' || {word}", 6)} "
+                f"/ {float(len(K.STAND_IN_VOCABULARY) << 24)} ELSE 0.0 END)")
+
+    def ppl(x):
+        return f"(CASE WHEN contains({x}, ' ') THEN round(1 + {number(x, 7)} % 100000 / 100.0, 2) END)"
+
+    likely = {d: f"{prob(lit(d))} > {prob('n')} AND {pos_tag('n')} IN ('noun', 'adjective')" for d in K.DETERMINERS}
+    fired = " OR ".join(f"missing_{d}" for d in K.DETERMINERS)
+    return f"""
+WITH s AS (SELECT doc_id, string_split_regex(lower(text), '[.!?\n]+') AS parts FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+l AS (SELECT doc_id || ':' || (i - 1) AS doc_id, regexp_extract_all(parts[i], '\\p{{L}}+') AS ws
+      FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM s)),
+t AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, ws[i] AS w, ws[i + 1] AS n, CASE WHEN i > 1 THEN ws[i - 1] || ' ' ELSE '' END AS p,
+             array_to_string(ws[i + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM l)),
+m AS (SELECT *, {', '.join(f"{c} AS trig_{d}" for d, c in likely.items())}, {ppl("(w || ' ' || rest)")} AS m1, {ppl("(w || ' the ' || rest)")} AS m2,
+             {ppl("(p || w || ' ' || rest)")} AS e1, {ppl('(p || rest)')} AS e2 FROM t),
+f AS (SELECT *, {', '.join(f"trig_{d} AND coalesce(m1 > m2, false) AS missing_{d}" for d in K.DETERMINERS)} FROM m)
+""" + "\nUNION ALL\n".join(
+        [f"SELECT doc_id, pos, w, n, {lit(d)} AS det, m1 AS ppl1, m2 AS ppl2 FROM f WHERE missing_{d}" for d in K.DETERMINERS]
+        + [f"SELECT doc_id, pos, w, n, CAST(NULL AS VARCHAR) AS det, e1 AS ppl1, e2 AS ppl2 FROM f "
+           f"WHERE NOT ({fired}) AND {pos_tag('w')} IN {in_list(K.DETERMINER_TAGS)} AND {pos_tag('n')} <> 'noun' AND e1 > e2"])
+
+
 REGISTRY = {
     "benchmark_metrics": sql_benchmark_metrics,
     "confusion_per_class": sql_confusion_per_class,
@@ -602,6 +630,7 @@ REGISTRY = {
     "extra_determiner": sql_extra_determiner,
     "annotate": sql_annotate,
     "detect_with_tags": sql_detect_with_tags,
+    "detect_with_model": sql_detect_with_model,
     "parse_pos_reply": sql_parse_pos_reply,
     "parse_iob_reply": sql_parse_iob_reply,
 }

@@ -18,8 +18,9 @@ from detlens.functions import text as TX
 from detlens.operators import detect as D
 from detlens.operators import lm as LM
 from detlens.operators import metrics as M
+from detlens.operators import model_detect as MD
 from detlens.operators import runs as RU
-from detlens.operators.scoring import ChunkingScorer, TaggingScorer, TemplateScorer, batch_score
+from detlens.operators.scoring import ChunkingScorer, DigestModel, TaggingScorer, TemplateScorer, batch_score
 from detlens.operators.tagging import iob_tag, pos_tag
 from detlens.plans import views as V
 from detlens.session import materialize, shared_path
@@ -273,6 +274,15 @@ def detect_with_tags(spark, sf_dir):
     return D.missing_determiners(D.determiner_flags(model))
 
 
+def detect_with_model(spark, sf_dir):
+    """L5 + L6 with a language model's probabilities and perplexities in place of the corpus counts: the English
+    documents' sentences, the stand-in model, one call for each distinct text. det is NULL for an extra determiner."""
+    docs = V.spread(V.table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text"))
+    flags = materialize(MD.model_flags(materialize(MD.sentences(docs), "sentences"), DigestModel), "flags")
+    extra = D.extra_determiners(flags).withColumn("det", F.lit(None).cast("string"))
+    return D.missing_determiners(flags).unionByName(extra)
+
+
 def _tag_replies(words, kind: str):
     """Replies in 'word/tag' form built per document from the rule tagger (varied
     formatting: newlines, a leading underscore, upper-case tags, a preface)."""
@@ -550,6 +560,7 @@ REGISTRY = {
     "extra_determiner": extra_determiner,
     "annotate": annotate,
     "detect_with_tags": detect_with_tags,
+    "detect_with_model": detect_with_model,
     "parse_pos_reply": parse_pos_reply,
     "parse_iob_reply": parse_iob_reply,
     "scan_csv_quoted": scan_csv_quoted,
