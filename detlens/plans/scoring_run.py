@@ -4,8 +4,9 @@ prepare (P1, P6) -> score through the seam (L0) -> parse replies (P7-P11) -> wri
 predictions table (K2) -> metrics (A1, A4-A6) with the elapsed seconds (A9) -> write
 metrics as CSV and key=value text (K3).
 
-The model is called exactly once per row: the scored table (with the raw fix and the caller's
-key columns) is written first; the six-column predictions file and the metrics are made from it.
+The replies are kept in a ledger of committed batches (``operators.ledger``): a run that was killed, called again
+with ``resume``, asks the model about no committed row again. Within a batch, a retried task's rows are asked
+about again. The six-column predictions file and the metrics are made from the ledger.
 """
 
 from __future__ import annotations
@@ -20,26 +21,29 @@ from detlens import constants as K
 from detlens.functions.labels import label_wide_pass, require_columns
 from detlens.functions.prompts import judge_prompt
 from detlens.functions.replies import predict
+from detlens.operators import ledger
 from detlens.operators.metrics import benchmark_metrics
-from detlens.operators.scoring import batch_score
 from detlens.sinks.writers import write_csv, write_metrics
 
 
 def run_scoring(bench: DataFrame, factory: Callable[[], object], out_dir: str, model: str, input_name: str,
-                seed: int = 0, keep=()) -> DataFrame:
+                seed: int = 0, keep=(), resume: bool = False, batches: int = ledger.BATCHES) -> DataFrame:
     """Score a benchmark table (sentence, noun_phrase, grammatical, corrected) and write
-    ``out_dir/predictions`` and ``out_dir/metrics``; returns the metrics row."""
+    ``out_dir/predictions`` and ``out_dir/metrics``; returns the metrics row. Rows are named by the ``keep`` columns,
+    or by sentence and phrase. ``elapsed_sec`` is this call's time for scoring."""
     require_columns(bench, K.BENCHMARK_COLUMNS)
     spark = bench.sparkSession
     prompts = bench.withColumn("prompt", judge_prompt("sentence", "noun_phrase"))
-    scored = batch_score(prompts, factory, out_col="reply", seed=seed)
+    if not resume:
+        ledger.drop(spark, f"{out_dir}/replies")
+    started = time.perf_counter()
+    scored = ledger.score_once(prompts, factory, f"{out_dir}/replies", keep or ("sentence", "noun_phrase"), seed=seed, batches=batches)
+    elapsed = time.perf_counter() - started
     preds = predict(scored).select(
         *keep, "sentence", "noun_phrase", label_wide_pass("grammatical").alias("grammatical"), "corrected",
         "grammatical_pred", "correction", "fix_pred",
     )
-    started = time.perf_counter()
     preds.write.mode("overwrite").parquet(f"{out_dir}/scored")
-    elapsed = time.perf_counter() - started
     written = spark.read.parquet(f"{out_dir}/scored")
     write_csv(written.select(*K.PREDICTION_TABLE_COLUMNS), f"{out_dir}/predictions", emptyValue='""')
     metrics = benchmark_metrics(written).select(

@@ -113,7 +113,7 @@ def local_path(path: str) -> str:
     return os.path.abspath(path)
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, partition_by: str | None = None):
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 
     Cuts the lineage with one job (a reliable RDD checkpoint computes its input twice
@@ -121,8 +121,9 @@ def materialize(df, name: str):
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
 
 
 def drop_intermediate(spark: SparkSession) -> bool:
