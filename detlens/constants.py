@@ -71,6 +71,7 @@ ERROR_EMPTY_FILE = "No columns to parse from file"
 ERROR_OPEN_QUOTE = "Error tokenizing data. C error: EOF inside string"
 ERROR_TOO_MANY_FIELDS = "Error tokenizing data. C error: Expected fewer fields"
 ERROR_CHARSET = "'utf-8' codec can't decode"
+ERROR_TIMEOUT = "Timeout waiting for predictions to be created/updated"
 
 BENCHMARK_COLUMNS = ("sentence", "noun_phrase", "grammatical", "corrected")
 PREDICTION_TABLE_COLUMNS = BENCHMARK_COLUMNS + ("grammatical_pred", "correction")
