@@ -105,6 +105,17 @@ FROM per_run JOIN (SELECT script, model, input, run, CAST(count(*) AS BIGINT) AS
   USING (script, model, input, run)"""
 
 
+def sql_run_files():
+    # Counts by column (files read as CSV), F1 from raw lines (the mode of repeated runs).
+    inner = _confusion_cols_sql("runs", "script, model, input, run", "grammatical", "grammatical_pred")
+    model = "regexp_replace(model, '[^A-Za-z0-9._-]+', '_', 'g')"
+    stem = "regexp_replace(script, '(.)[.][^.]*$', '\\1')"
+    return with_views(*RUN_VIEWS, f"cc AS ({inner})") + f"""
+SELECT 's0/' || {stem} || '/' || {model} || '__' || regexp_extract(input, '([^/]*)/*$', 1) || '/run_' || printf('%02d', run) AS folder,
+       {ARTIFACT} AS name, cc.tp, cc.fp, cc.fn, cc.tn, per_run.f1, run AS seed
+FROM cc JOIN per_run USING (script, model, input, run)"""
+
+
 def sql_results_json():
     return with_views(*RUN_VIEWS) + """
 SELECT script || '/' || run AS path, n_total AS n, f1 AS value FROM per_run
@@ -202,6 +213,7 @@ REGISTRY = {
     "results_json": sql_results_json,
     "summary_json": sql_metric_across_runs,
     "run_archive": sql_run_archive,
+    "run_files": sql_run_files,
     "report_text": sql_report_text,
     "report_tags": sql_report_tags,
     "launch_manifest": sql_launch_manifest,

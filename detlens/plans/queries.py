@@ -24,8 +24,10 @@ from detlens.operators.scoring import ChunkingScorer, DigestModel, TaggingScorer
 from detlens.operators.tagging import iob_tag, pos_tag
 from detlens.plans import views as V
 from detlens.session import materialize, shared_path
+from detlens.sinks import named_files as NF
 from detlens.sinks import writers as SNK
 from detlens.sources import files as SRC
+from detlens.sources.csv_splits import plain_path
 from detlens.streaming import run_metrics as ST
 
 
@@ -474,6 +476,23 @@ def run_archive(spark, sf_dir):
     return rows.join(scores, key).join(info, key).withColumn("run", F.col("run").cast("bigint"))
 
 
+def run_files(spark, sf_dir):
+    """K2 + K5: every run's predictions, metrics and run info as files under their derived names, read back by name: the
+    rows, counts and F1 of each predictions file and what lies beside it."""
+    root = shared_path(spark, "run-files")
+    NF.write_run_files(V.runs(_words(spark, sf_dir)), root, "s0", order=("doc_id", "pos"))
+    files, rows = SRC.read_label_columns(spark, root, glob=f"*{K.PREDICTIONS_SUFFIX}")
+    home = lambda c: F.regexp_extract(c, r"(s0/.*)/[^/]*\z", 1).alias("folder")
+    counts = M.confusion_columns(rows.withColumn("folder", home("path")), "truth", "pred", group=("folder",))
+    read = lambda name: (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+                         .text(root, wholetext=True).select("value", home(plain_path("_metadata.file_path"))))
+    f1 = F.get_json_object("value", "$.metrics.f1").cast("double").alias("f1")
+    info = read("run_info.json").select("folder", F.get_json_object("value", "$.seed").cast("bigint").alias("seed"))
+    named = files.filter("error IS NULL").select(home("path"), F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"))
+    return named.join(counts, "folder").join(read("metrics.json").select("folder", f1), "folder").join(info, "folder").select(
+        "folder", "name", "tp", "fp", "fn", "tn", "f1", "seed")
+
+
 def report_text(spark, sf_dir):
     """K6: the detector report written as text and read back line by line."""
     words = _words(spark, sf_dir)
@@ -576,6 +595,7 @@ REGISTRY = {
     "results_json": results_json,
     "summary_json": summary_json,
     "run_archive": run_archive,
+    "run_files": run_files,
     "report_text": report_text,
     "report_tags": report_tags,
     "launch_manifest": launch_manifest,

@@ -93,19 +93,22 @@ RUN_PARTITIONS = ("session", "script", "model", "input", "run")
 def write_run_archive(runs: DataFrame, path: str, session: str, mode: str = "append", scoring_mode: str = "table",
                       job_id: str | None = None, started: str | None = None, ended: str | None = None) -> None:
     """K5: three tables partitioned by session / script / model / input / run: the runs' predictions,
-    their metrics (confusion and ratios), and what is known of each run. The seed is the run's index."""
+    their metrics (confusion and ratios), and what is known of each run."""
     keyed = runs.withColumn("session", F.lit(session))
     write_csv(keyed.select(*RUN_PARTITIONS, *K.PREDICTION_TABLE_COLUMNS), f"{path}/predictions", mode, partition_by=RUN_PARTITIONS)
     per_run = per_run_metrics(runs).withColumn("session", F.lit(session))
     write_json(per_run.select(*RUN_PARTITIONS, *nested_result()), f"{path}/metrics", mode, partition_by=RUN_PARTITIONS)
+    about = run_info(scoring_mode, job_id, started, ended)
+    info = keyed.select(*RUN_PARTITIONS).distinct().select(*RUN_PARTITIONS, F.struct(*about).alias("run_info"))
+    write_json(info, f"{path}/run_info", mode, partition_by=RUN_PARTITIONS)
+
+
+def run_info(scoring_mode: str = "table", job_id: str | None = None, started: str | None = None, ended: str | None = None) -> list[Column]:
+    """What is known of a run. The seed is the run's index."""
     given = {"mode": scoring_mode, "job_id": job_id, "start_time": started, "end_time": ended}
-    info = keyed.select(*RUN_PARTITIONS).distinct().select(
-        *RUN_PARTITIONS, F.struct(
-            F.col("script").alias("script"), F.col("model").alias("model"), F.col("input").alias("input"),
+    return [F.col("script").alias("script"), F.col("model").alias("model"), F.col("input").alias("input"),
             *[F.lit(v).cast("string").alias(k) for k, v in given.items()],
-            F.col("run").alias("run_index"), F.col("run").alias("seed"),
-            artifact_key("model", "input").alias("predictions_file")).alias("run_info"))
-    write_json(info, f"{path}/run_info", mode, partition_by=RUN_PARTITIONS)
+            F.col("run").alias("run_index"), F.col("run").alias("seed"), artifact_key("model", "input").alias("predictions_file")]
 
 
 def nested_result() -> list[Column]:
