@@ -8,6 +8,8 @@ memory does not depend on how Spark sizes its batches.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,6 +159,16 @@ def shingle_hashes(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarr
     return mix(h[at]), at
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker serves later tasks, too, with what it has taken."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """``df`` written to the shared folder and read back, with its number of rows."""
     out = materialize(df, name)

@@ -2,8 +2,8 @@
 
 The benchmark's windows (13 words, or a whole shorter item) are the patterns. For every
 pattern length a block of two words indexes a shift table: how far the search may move on
-without passing a window's end. Where the shift is 0 the block's suffix bucket names the
-test windows, and their words are compared byte by byte. Documents are searched in pieces
+without passing a window's end. Where the shift is 0 the block's suffix bucket holds the
+test windows, those with the same first block are taken, and their words are compared byte by byte. Documents are searched in pieces
 that advance in step, so numpy moves thousands of cursors at once.
 
 Patterns are dealt into blocks of about ``BLOCK_WORDS`` words. Each block is one broadcast
@@ -33,25 +33,21 @@ BLOCK_WORDS = 200_000
 PIECE_WORDS = 1024
 #: Window ends that one cursor walks through.
 CURSOR_ENDS = 512
+#: Stretches and test windows that are compared at once.
+COMPARED = 1 << 16
 _A = np.uint64(0x9FB21C651E98DF25)
 
 
-def _windows(hashes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """A hash of the ``length`` words from each position in ``at``."""
-    h = hashes[at].copy()
-    for i in range(1, length):
-        h *= _A
-        h += hashes[at + i]
-    return C.mix(h)
-
-
 class _Length:
-    """Tables for the windows of one length: shifts by block, and test windows by suffix block."""
+    """Tables for the windows of one length: shifts by block, and the test windows in buckets by their suffix block, in a
+    bucket by a hash of their first block."""
 
     def __init__(self, length: int, at: np.ndarray, item: np.ndarray, hashes: np.ndarray):
         self.length, self.block = length, min(2, length)
-        order = np.argsort(key := _windows(hashes, at, length), kind="stable")
-        self.key, self.at, self.item = key[order], at[order], item[order]
+        self.buckets, bucket = np.unique(self._blocks(hashes, at + length - 1), return_inverse=True)
+        places = self._places(bucket, self._blocks(hashes, at + self.block - 1))
+        order = np.argsort(places, kind="stable")
+        self.places, self.at, self.item = places[order], at[order], item[order]
         bits = max(10, int(np.ceil(np.log2(len(at) * length + 1))) + 3)
         self.mask = np.uint64((1 << bits) - 1)
         farthest = length - self.block + 1
@@ -59,32 +55,43 @@ class _Length:
         for i in range(farthest):  # a block whose last word is word i + block - 1 of the window
             b = self._blocks(hashes, at + i + self.block - 1)
             np.minimum.at(self.shift, (b & self.mask).astype(np.int64), farthest - 1 - i)
-        self.suffix = np.unique(self._blocks(hashes, at + length - 1))
+
+    @staticmethod
+    def _places(bucket: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """Numbers that sort by bucket, and in a bucket by half of the first block's hash."""
+        return (bucket.astype(np.uint64) << np.uint64(32)) | (prefix >> np.uint64(32))
 
     def _blocks(self, hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
         return C.mix(hashes[last] if self.block == 1 else hashes[last - 1] * _A + hashes[last])
 
-    def candidates(self, hashes: np.ndarray, words: C.Words) -> np.ndarray:
-        """Positions of last words whose block ends some window of this length."""
+    def candidates(self, hashes: np.ndarray, words: C.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first words of stretches, numbers of the test windows to compare them with): where the search stops, the
+        stretch's last block selects a bucket, and its first block the windows in it."""
         lo = words.first[:-1] + self.length - 1
         ends = words.first[:-1] + words.count
         pieces = np.maximum(0, -(-(ends - lo) // CURSOR_ENDS))
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         p = np.repeat(lo, pieces) + nth * CURSOR_ENDS
         stop = np.minimum(p + CURSOR_ENDS, np.repeat(ends, pieces))
-        found = []
+        none = np.zeros(0, dtype=np.int64)
+        found = [(none, none)]
         while len(p):
             b = self._blocks(hashes, p)
             s = self.shift[(b & self.mask).astype(np.int64)]
             zero = s == 0
             if zero.any():
                 q, b = p[zero], b[zero]
-                near = np.minimum(np.searchsorted(self.suffix, b), len(self.suffix) - 1)
-                found.append(q[self.suffix[near] == b])
+                bucket = np.minimum(np.searchsorted(self.buckets, b), len(self.buckets) - 1)
+                some = self.buckets[bucket] == b
+                first = q[some] - self.length + 1
+                place = self._places(bucket[some], self._blocks(hashes, first + self.block - 1))
+                lo, hi = np.searchsorted(self.places, place, "left"), np.searchsorted(self.places, place, "right")
+                many = hi - lo
+                found.append((np.repeat(first, many), np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)))
             p = p + np.maximum(s, 1)
             keep = p < stop
             p, stop = p[keep], stop[keep]
-        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Patterns:
@@ -129,16 +136,11 @@ class Patterns:
         """(first word, word after the last, item number) of every occurrence, item by item."""
         out = []
         for x in self.lengths:
-            ends = x.candidates(hashes, words)
-            if not len(ends):
-                continue
-            a = ends - x.length + 1
-            key = _windows(hashes, a, x.length)
-            lo, hi = np.searchsorted(x.key, key, "left"), np.searchsorted(x.key, key, "right")
-            a, many = np.repeat(a, hi - lo), hi - lo
-            q = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            good = self._same(texts, words, a, x.at[q], x.length) if len(q) else np.zeros(0, dtype=bool)
-            out.append((a[good], a[good] + x.length, x.item[q[good]]))
+            a, q = x.candidates(hashes, words)
+            for k in range(0, len(a), COMPARED):
+                a_k, q_k = a[k: k + COMPARED], q[k: k + COMPARED]
+                good = self._same(texts, words, a_k, x.at[q_k], x.length)
+                out.append((a_k[good], a_k[good] + x.length, x.item[q_k[good]]))
         if not out:
             none = np.zeros(0, dtype=np.int64)
             return none, none, none

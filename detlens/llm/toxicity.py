@@ -330,7 +330,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 if total <= bytes_bound:
                     texts.append(content)
                     values.append(label)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(values)))])], names=["network"])
+        network = pickle.dumps(train(texts, np.array(values)))
+        texts.clear()
+        C.release_memory()  # the worker lives on
+        yield pa.RecordBatch.from_arrays([pa.array([network])], names=["network"])
 
     # The sample is in one partition, in order; one task trains, and the driver gets the weights alone.
     return pickle.loads(taken.select("label", "text", "n").coalesce(1).mapInArrow(learn, "network binary").first()["network"])

@@ -83,3 +83,12 @@ def test_hits_are_ranges(spark):
     d = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "b c"), (2, "c d"), (3, "f")], "item_id long, text string")
     assert K.scan(d, b).first().hits == [1, 4, 5, 6]
+
+
+def test_windows_of_one_suffix_bucket(spark, monkeypatch):
+    """Test strings that agree in their first and last words, and one that many items repeat, are told apart by comparison."""
+    monkeypatch.setattr(K, "COMPARED", 3)
+    middle = lambda i: " ".join(f"m{(i + j) % 7}" for j in range(9))
+    items = [(i, f"the of {middle(i)} and the") for i in range(7)] + [(20 + i, f"THE of {middle(0)} and the") for i in range(30)] + [(90, "and the"), (91, "the")]
+    docs = [(i, f"x y the of {middle(i)} and the. z") for i in range(9)] + [(50, f"the of {middle(1)} and then"), (51, "the of and the"), (52, "and, The")]
+    assert run(spark, docs, items) == brute(docs, items)
