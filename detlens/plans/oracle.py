@@ -39,6 +39,7 @@ def clean_text(x: str) -> str:
     return f"(CASE WHEN lower({t}) IN {in_list(K.MISSING_TOKENS)} THEN '' ELSE {t} END)"
 
 
+# The reference's patterns in DuckDB's dialect (see ``constants`` for Spark's).
 NUMBERING = r"^\s*(?:\(?\d+\)?[.)-]\s*)"
 BOILER = r"(?i)^\s*(?:followed by|is|should be|output(?: is)?|answer(?: is)?)\s+"
 PUNCT = r"^\s*[,;:–—-]\s*"
@@ -173,6 +174,7 @@ V_BENCH = f"""bench AS (
 
 V_REPLIES = f"""replies AS (SELECT *, {reply_case('noun_phrase', 'alt')} AS reply FROM bench)"""
 
+# Patterns of replies, as above.
 ANSWER = r"(?i)^\s*\**\s*answer\s*[:\-]*\s*"
 ECHO = " OR ".join(f"starts_with(lower(l), {lit(p)})" for p in K.ECHO_PREFIXES)
 VERDICT_CASE = (

@@ -13,6 +13,7 @@ from detlens.plans.oracle import (
     sql_metric_across_runs, with_views,
 )
 
+# The artefact's name, as in ``functions.text.artifact_key``.
 ARTIFACT = (
     r"regexp_replace(model, '[^A-Za-z0-9._-]+', '_', 'g') || '__' || "
     r"regexp_extract(input, '([^/]*)/*$', 1) || " + lit(K.PREDICTIONS_SUFFIX)
@@ -153,6 +154,7 @@ def _launch_text() -> str:
     )
 
 
+# The patterns of launch scripts in DuckDB's dialect.
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"']+)""".replace("'", "''")
 _COMMAND = r"(?:^|\n)\s*(?:python3?|/usr/bin/python[0-9.]*)\s+[^\\\n]*[^\s\\]*\.py[^\n]*--model[^\n]*"
 
