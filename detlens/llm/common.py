@@ -126,22 +126,27 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     place in the span, and then added up."""
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    size = end - start
-    pieces = np.maximum(1, -(-size // 8))
-    first = np.cumsum(pieces) - pieces
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     padded[: len(data)] = LOWER[data] if lower else data
-    at_any = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    # The 8 bytes from every position on, as a number.
+    number = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    size = end - start
     total = np.empty(len(start), dtype=np.uint64)
+    for a in range(0, len(start), PIECES):  # first pieces, the only ones of most words
+        n = size[a: a + PIECES]
+        total[a: a + PIECES] = mix((number[start[a: a + PIECES]].view("<u8").ravel() & _TAIL[np.minimum(n, 8)]) + np.uint64(_MUL))
+    long = np.flatnonzero(size > 8)
+    more = -(-size[long] // 8) - 1
+    done = np.cumsum(more)
     a = 0
-    while a < len(start):  # some pieces at a time
-        b = max(a + 1, int(np.searchsorted(first, first[a] + PIECES, side="right")) - 1) if first[-1] + pieces[-1] - first[a] > PIECES else len(start)
-        n = pieces[a:b]
-        nth = np.arange(n.sum()) - np.repeat(first[a:b] - first[a], n)
-        value = at_any[np.repeat(start[a:b], n) + 8 * nth].view("<u8").ravel()
-        value &= _TAIL[np.clip(np.repeat(size[a:b], n) - 8 * nth, 0, 8)]
-        value = mix(value + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(_MUL))
-        total[a:b] = np.add.reduceat(value, first[a:b] - first[a])
+    while a < len(long):  # the others, some at a time
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + PIECES, side="right")))
+        n, at = more[a:b], long[a:b]
+        first = np.cumsum(n) - n
+        nth = np.arange(1, n.sum() + 1) - np.repeat(first, n)
+        value = number[np.repeat(start[at], n) + 8 * nth].view("<u8").ravel()
+        value &= _TAIL[np.minimum(np.repeat(size[at], n) - 8 * nth, 8)]
+        total[at] += np.add.reduceat(mix(value + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(_MUL)), first)
         a = b
     return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
