@@ -35,14 +35,17 @@ REACH = 2
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, row, text, lines): ``row`` is a digest of the text, which tells rows of one key apart."""
-    return docs.select(F.col(key).alias("key"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("row"),
-                       F.col(text).alias("text")).withColumn("lines", F.split("text", "\n"))
+    """(key, row, text): ``row`` is a digest of the text, which tells rows of one key apart."""
+    return docs.select(F.col(key).alias("key"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("row"), F.col(text).alias("text"))
+
+
+def _lines() -> Column:
+    return F.split("text", "\n")
 
 
 def solid_lines(rows: DataFrame) -> DataFrame:
     """(key, row, ord, pos, line, x): the lines that aren't blank, numbered; ``line`` is a line's digest, x a number from it."""
-    numbered = F.transform("lines", lambda line, i: F.struct(i.alias("pos"), line.alias("text")))
+    numbered = F.transform(_lines(), lambda line, i: F.struct(i.alias("pos"), line.alias("text")))
     solid = F.filter(numbered, lambda s: F.length(F.replace(s["text"], F.lit(" "), F.lit(""))) > 0)
     lines = rows.select("key", "row", F.posexplode(solid).alias("ord", "s")).withColumn("md5", F.md5(F.col("s.text").cast("binary")))
     return lines.select("key", "row", "ord", "s.pos", F.unhex("md5").alias("line"),
@@ -77,7 +80,7 @@ def spans(lines: DataFrame) -> DataFrame:
 
 def repeated(chunks: DataFrame) -> DataFrame:
     """(key, row, lo, hi) of the chunks to remove, from (key, row, lo, hi, body)."""
-    marked = chunks.withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
+    marked = materialize(chunks.withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary")))), "chunks")
     place = F.struct(F.col("key").isNull().alias("unnamed"), "key", "row", "lo")
     shared, n_shared = C.counted(
         marked.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("times"))
@@ -90,21 +93,22 @@ def repeated(chunks: DataFrame) -> DataFrame:
 
 def _with_spans(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """``rows`` with ``spans``, those of ``found`` (key, row, lo, hi) in order."""
-    by_row, n = C.counted(found.distinct().groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-                          .withColumnsRenamed({"key": "_key", "row": "_row"}), "row-spans")
-    # The two sides of the join by a null key meet too: it is an ordinary key here.
+    by_row = materialize(found.distinct().groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+                         .withColumnsRenamed({"key": "_key", "row": "_row"}), "row-spans")
+    # The two sides of the join by a null key meet too: it is an ordinary key here. Spans grow with the documents, so both
+    # sides are shuffled at any size; Spark splits a row that occurs often.
     on = F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row"))
-    return rows.join(C.maybe_broadcast(by_row, n, 160), on, how).drop("_key", "_row")
+    return rows.join(by_row.hint("merge"), on, how).drop("_key", "_row")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_lines, removed_chunks, removed_lines, text) for every document."""
     rows = _rows(docs, key, text)
     lines = materialize(solid_lines(rows), "lines")
-    chunks = _with_spans(rows, spans(lines), "inner").select("key", "row", "lines", F.explode("spans").alias("s"))
+    chunks = _with_spans(rows, spans(lines), "inner").select("key", "row", _lines().alias("lines"), F.explode("spans").alias("s"))
     length = F.col("s.hi") - F.col("s.lo") + 1
     chunks = chunks.select("key", "row", "s.*", F.array_join(F.slice("lines", F.col("s.lo") + 1, length), "\n").alias("body"))
-    out = _with_spans(rows, repeated(chunks), "left")
+    out = _with_spans(rows, repeated(chunks), "left").withColumn("lines", _lines())
     # What is left lies between the removed spans.
     none = F.array().cast("array<struct<lo:int,hi:int>>")
     gone = F.coalesce("spans", none)
