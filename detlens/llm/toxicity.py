@@ -348,6 +348,7 @@ def score(rows: DataFrame, network: Network, key: str = "key", text: str = "text
             for a, b, texts in C.slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(shared.value.scores(texts))], names=["key", "score"])
+        C.release_memory()
 
     rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, C.with_key(rows, "score double"))
