@@ -33,18 +33,16 @@ def label_wide_pass(c) -> Column:
 
 def label_eval(c, case_sensitive: bool = False) -> Column:
     """P5: evaluation map; missing -> NULL. Case-sensitive mode maps only a/A/b/B."""
-    raw = col(c).cast("string")
-    s = py_strip(raw)
-    if not case_sensitive:
-        s = F.lower(s)
-        out = (
-            F.when(s == "a", "yes").when(s == "b", "no")
-            .when(s.isin(*K.EVAL_EXTRA_YES), "yes").when(s.isin(*K.EVAL_EXTRA_NO), "no")
-            .otherwise(s)
-        )
-    else:
-        out = F.when(s.isin("a", "A"), "yes").when(s.isin("b", "B"), "no").otherwise(s)
-    return F.when(raw.isNull(), F.lit(None).cast("string")).otherwise(out)
+    s = py_strip(col(c).cast("string"))
+    # One CASE over ``s``, so that it is computed once a row; NULL meets no branch and stays NULL.
+    if case_sensitive:
+        return F.when(s.isin("a", "A"), "yes").when(s.isin("b", "B"), "no").otherwise(s)
+    s = F.lower(s)
+    return (
+        F.when(s == "a", "yes").when(s == "b", "no")
+        .when(s.isin(*K.EVAL_EXTRA_YES), "yes").when(s.isin(*K.EVAL_EXTRA_NO), "no")
+        .otherwise(s)
+    )
 
 
 def require_columns(df: DataFrame, columns) -> None:
