@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from detlens import constants as K
 from detlens.functions.text import artifact_key, basename, safe_name
 from detlens.operators.runs import RUN_KEYS, per_run_metrics
-from detlens.sinks.writers import MINIMAL_OPTIONS, nested_result, run_info
+from detlens.sinks.writers import MINIMAL_OPTIONS, nested_result, run_info, stored_runs
 from detlens.sources.csv_splits import one_scheme
 
 MANIFEST = "_manifest"
@@ -84,6 +84,7 @@ def write_run_files(runs: DataFrame, folder: str, session: str, order=(), **abou
     ``folder/session/script/model__input/run_NN``; ``about`` as for ``writers.run_info``. Returns the manifest of all files."""
     at = lambda name: F.concat(F.lit(f"{session}/"), run_folder(), F.lit("/"), name)
     line = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line")
+    runs = stored_runs(runs)
     preds = write_named(runs, at(artifact_key("model", "input")), folder, K.PREDICTION_TABLE_COLUMNS, order)
     metrics = per_run_metrics(runs).select(at(F.lit("metrics.json")).alias("name"), line(*nested_result()))
     known = runs.select(*RUN_KEYS, "run").distinct()

@@ -14,7 +14,8 @@ from detlens import constants as K
 from detlens.functions.lines import CSV_LINE_OPTIONS
 from detlens.functions.text import artifact_key
 from detlens.operators.metrics import metric_across_files
-from detlens.operators.runs import per_run_metrics, summary_entries
+from detlens.operators.runs import RUN_KEYS, per_run_metrics, summary_entries
+from detlens.session import materialize
 
 QUOTE_ALL_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"',
                      "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -94,6 +95,7 @@ def write_run_archive(runs: DataFrame, path: str, session: str, mode: str = "app
                       job_id: str | None = None, started: str | None = None, ended: str | None = None) -> None:
     """K5: three tables partitioned by session / script / model / input / run: the runs' predictions,
     their metrics (confusion and ratios), and what is known of each run."""
+    runs = stored_runs(runs)
     keyed = runs.withColumn("session", F.lit(session))
     write_csv(keyed.select(*RUN_PARTITIONS, *K.PREDICTION_TABLE_COLUMNS), f"{path}/predictions", mode, partition_by=RUN_PARTITIONS)
     per_run = per_run_metrics(runs).withColumn("session", F.lit(session))
@@ -103,6 +105,11 @@ def write_run_archive(runs: DataFrame, path: str, session: str, mode: str = "app
     write_json(info, f"{path}/run_info", mode, partition_by=RUN_PARTITIONS)
 
 
+def stored_runs(runs: DataFrame) -> DataFrame:
+    """The runs' keys and predictions as a table, for sinks that read them several times: scored and parsed once."""
+    return materialize(runs.select(*RUN_KEYS, "run", "doc_id", "pos", *K.PREDICTION_TABLE_COLUMNS), "runs")
+
+
 def run_info(scoring_mode: str = "table", job_id: str | None = None, started: str | None = None, ended: str | None = None) -> list[Column]:
     """What is known of a run. The seed is the run's index."""
     given = {"mode": scoring_mode, "job_id": job_id, "start_time": started, "end_time": ended}
