@@ -19,7 +19,7 @@ from detlens import constants as K
 from detlens.functions.lines import is_data_line
 from detlens.functions.text import WS
 from detlens.session import materialize
-from detlens.sources.csv_splits import CsvFiles, one_scheme, plain_path
+from detlens.sources.csv_splits import BROADCAST_BYTES, CsvFiles, one_scheme, plain_path
 
 #: For Spark's own reader: folders of small files that Spark wrote, with partition columns.
 CSV_READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
@@ -111,19 +111,33 @@ def tokenize_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def logical_file(path_col: str = "path") -> F.Column:
+def logical_file(path_col: str | Column = "path") -> Column:
     """A Spark table partition is a directory of part files; that directory is the
     'file' results are reported for. Other files stand for themselves."""
-    p = F.col(path_col)
-    name = F.regexp_extract(p, r"([^/]*)\z", 1)
-    return F.when(name.startswith("part-"), F.regexp_extract(p, r"\A(.*)/[^/]*\z", 1)).otherwise(p)
+    p = F.col(path_col) if isinstance(path_col, str) else path_col
+    # No regex: one that ends in ``\z`` is tried from every character of a path, here for every row.
+    name = F.substring_index(p, "/", -1)
+    return F.when(name.startswith("part-"), F.left(p, F.length(p) - F.length(name) - 1)).otherwise(p)
 
 
 def scan_prediction_dir(spark: SparkSession, root: str, pattern: str = K.DEFAULT_PREDICTIONS_GLOB) -> DataFrame:
     """S5 + S6: raw data lines of every file under ``root`` whose path has a component
     matching ``pattern``; blank and header lines dropped. (file, value)."""
-    lines = file_lines(spark, root).withColumn("file", logical_file("path"))
-    return lines.filter(F.col("file").rlike(_component(pattern)) & is_data_line("value")).select("file", "value")
+    lines = data_lines(spark, root).withColumn("file", logical_file(plain_path("path")))
+    return lines.filter(F.col("file").rlike(_component(pattern))).select("file", "value")
+
+
+def data_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(path, value) of every data line under ``root``, with the path as Spark gives it."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(root)
+    return lines.filter(is_data_line("value")).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def prediction_counts(by_path: DataFrame, columns=("tp", "fp", "fn", "tn", "n_total"), pattern: str = K.DEFAULT_PREDICTIONS_GLOB) -> DataFrame:
+    """Counts for each path of ``data_lines``, added up for each file that ``scan_prediction_dir`` looks at. Names are
+    worked out and compared once for each path, not for each line."""
+    named = by_path.withColumn("file", logical_file(plain_path("path"))).filter(F.col("file").rlike(_component(pattern)))
+    return named.groupBy("file").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def _component(glob: str) -> str:
@@ -178,7 +192,10 @@ def read_label_columns(spark: SparkSession, root: str, truth: str | None = None,
     csv.files = csv.files.withColumn("error", F.coalesce("error", roles["error"]))
     rows = csv.rows(F.array(roles["truth_column"], roles["pred_column"]))
     rows = materialize(rows.select("path", F.get("fields", F.lit(0)).alias("truth"), F.get("fields", F.lit(1)).alias("pred"), "extra"), "label-rows")
-    long = rows.filter("extra > 0").select("path").distinct().withColumn("_error", F.lit(K.ERROR_TOO_MANY_FIELDS))
-    files = csv.files.join(long, "path", "left").select("path", F.coalesce("error", "_error").alias("error"))
-    whole = rows.join(long.select("path"), "path", "left_anti")
+    long = materialize(rows.filter("extra > 0").select("path").distinct(), "long-files")
+    files = csv.files.join(long.withColumn("_error", F.lit(K.ERROR_TOO_MANY_FIELDS)), "path", "left").select(
+        "path", F.coalesce("error", "_error").alias("error"))
+    size = long.agg(F.sum(F.length("path") + 16)).first()[0]
+    # Rows are not shuffled by their path for the few files that are left out, if any.
+    whole = rows if size is None else rows.join(F.broadcast(long) if size <= BROADCAST_BYTES else long, "path", "left_anti")
     return files, missing_to_null(whole.select("path", "truth", "pred"))
