@@ -101,9 +101,10 @@ def benchmark_metrics(df: DataFrame, group=(), truth="grammatical", pred="gramma
 # ---------------------------------------------------------------------------
 def confusion_columns(df: DataFrame, truth: str, pred: str, group=(), case_sensitive: bool = False) -> DataFrame:
     """A2: counts over rows whose both labels map to yes/no (FL1); others are skipped."""
-    g = label_eval(truth, case_sensitive)
-    p = label_eval(pred, case_sensitive)
-    return df.groupBy(*group).agg(
+    # Mapped once a row, before the counts read them.
+    labelled = df.select(*group, label_eval(truth, case_sensitive).alias("_gold"), label_eval(pred, case_sensitive).alias("_pred"))
+    g, p = F.col("_gold"), F.col("_pred")
+    return labelled.groupBy(*group).agg(
         F.count_if((g == "yes") & (p == "yes")).alias("tp"),
         F.count_if((g == "no") & (p == "yes")).alias("fp"),
         F.count_if((g == "yes") & (p == "no")).alias("fn"),
