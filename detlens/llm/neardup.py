@@ -108,6 +108,7 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(sizes),
                      *(pa.array(packed[:, i]) for i in range(packed.shape[1]))],
                     names=["key", "text_hash", "set_id", "n_shingles", *_SIGNATURE])
+        C.release_memory()  # the worker lives on
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     return rows.mapInArrow(run, C.with_key(rows, "text_hash long, set_id binary, n_shingles long, " + ", ".join(f"{s} long" for s in _SIGNATURE)))
@@ -159,6 +160,7 @@ def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(values))],
                     names=["node", "full"])
+        C.release_memory()
 
     return materialize(texts.mapInArrow(full, "node long, full array<long>").groupBy("node").agg(F.first("full").alias("full")), "sets")
 

@@ -53,6 +53,11 @@ SHARD_IDS = 8 << 20
 REMEMBERED = 1_500_000
 #: Longer pieces are encoded without being remembered.
 PIECE_BYTES = 64
+#: Bytes of text that are cut at once (a longer text is cut alone), texts that the tokenizer is given at once, and ids
+#: that are decoded at once: what a Python worker holds on top of the remembered pieces.
+CUT_BYTES = 1 << 20
+ENCODED = 1 << 12
+DECODED_IDS = 1 << 19
 MAGIC = b"HUFTOK01"
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -117,15 +122,18 @@ class Encoder:
 
     def _forget(self) -> None:
         self.seen = np.zeros(0, dtype=np.uint64)  # sorted hashes of pieces, and where their ids are
-        self.first, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.first, self.count = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint8)  # a byte has an id at most
         self.ids = np.zeros(0, dtype=np.uint16)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of texts that the tokenizer encodes one by one."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [e.ids for e in encode(texts, add_special_tokens=False)] if texts else []
-        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return np.fromiter(chain.from_iterable(ids), dtype=np.uint16, count=int(count.sum())), count
+        ids, count = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
+        for k in range(0, len(texts), ENCODED):
+            some = [e.ids for e in encode(texts[k: k + ENCODED], add_special_tokens=False)]
+            count.append(np.fromiter(map(len, some), dtype=np.int64, count=len(some)))
+            ids.append(np.fromiter(chain.from_iterable(some), dtype=np.uint16, count=int(count[-1].sum())))
+        return np.concatenate(ids), np.concatenate(count)
 
     def _learn(self, texts: C.Texts, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         raw = texts.data.tobytes()
@@ -158,7 +166,7 @@ class Encoder:
         if not len(self.seen):
             first, count, pool = np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=np.int64), self.ids
         else:
-            first, count, pool = self.first[slot], self.count[slot], self.ids
+            first, count, pool = self.first[slot].astype(np.int64), self.count[slot].astype(np.int64), self.ids
         if len(long):
             ids, sizes = self._whole([texts.data[start[i]: end[i]].tobytes().decode("utf-8", "replace") for i in long])
             first[long], count[long] = len(pool) + np.cumsum(sizes) - sizes, sizes
@@ -203,9 +211,11 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end_id: int = END_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before, part = encoder(path), 0, None
-        for batch in batches:
+        for nth, batch in enumerate(batches):
+            if nth % 4 == 3:
+                C.release_memory()
             parts = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, texts in C.slices(batch.column(2)):
+            for a, b, texts in C.slices(batch.column(2), CUT_BYTES):
                 ids, counts = enc.encode(texts)
                 ends = np.cumsum(counts)
                 n, starts, data = counts + 1, [], []
@@ -218,6 +228,7 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end_id: int = END_
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(starts, pa.int64()),
                      pa.array(n), pa.array(data, pa.binary())], names=["key", "part", "before", "n", "ids"])
+        C.release_memory()  # the worker lives on
 
     return rows.mapInArrow(run, "key long, part int, before long, n long, ids binary")
 
@@ -311,11 +322,16 @@ def unpack(data: np.ndarray, checkpoints: np.ndarray, total: int, lengths: np.nd
            which: slice = slice(None)) -> np.ndarray:
     """The ids of the chosen blocks; every block is decoded from its own checkpoint, all in step."""
     symbol, length, bits = decode_table(lengths)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint32)
+    blocks = np.arange(len(checkpoints))[which]
+    if not len(blocks):
+        return np.zeros(0, dtype=np.uint32)
+    # From the byte in which the first block starts to that in which the block after the last does.
+    low, after = int(checkpoints[blocks[0]]) >> 3, int(blocks[-1]) + 1
+    high = (int(checkpoints[after]) >> 3) + 1 if after < len(checkpoints) else len(data)
+    padded = np.concatenate([data[low:high], np.zeros(8, dtype=np.uint8)]).astype(np.uint32)
     # The 32 bits from every byte on: a look-up needs at most bits + 7 <= 32 of them.
     view = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
-    blocks = np.arange(len(checkpoints))[which]
-    pos = checkpoints[blocks].astype(np.int64)
+    pos = checkpoints[blocks].astype(np.int64) - 8 * low
     left = np.minimum(block, total - blocks * block)
     out = np.zeros((len(blocks), block), dtype=np.uint32)
     mask = np.uint32((1 << bits) - 1)
@@ -373,6 +389,18 @@ class Shard:
     def ids(self, first: int = 0, stop: int | None = None) -> np.ndarray:
         return unpack(self.data, self.checkpoints, self.total, self.lengths, self.block, slice(first, stop))
 
+    def documents(self, limit: int | None = None) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        """(first document, last + 1, the ids of each): as many at once as have ``limit`` ids, or a longer one alone."""
+        limit, ends, a = limit or DECODED_IDS, np.cumsum(self.sizes), 0
+        while a < len(ends):
+            start = int(ends[a] - self.sizes[a])
+            b = max(a + 1, int(np.searchsorted(ends, start + limit, side="right")))
+            first = start // self.block
+            ids = self.ids(first, -(-int(ends[b - 1]) // self.block)).astype("<u4", copy=False)
+            at = first * self.block
+            yield a, b, [ids[e - n - at: e - at] for e, n in zip(ends[a:b].tolist(), self.sizes[a:b].tolist(), strict=True)]
+            a = b
+
 
 def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID,
           shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -427,6 +455,8 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
                 size, last = size + len(ids), parts[i]
         if held:
             close()
+            held = []
+        C.release_memory()
         yield pa.RecordBatch.from_arrays(
             [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))],
             names=["path", "docs", "ids", "bytes"])
@@ -444,14 +474,13 @@ def read(paths: DataFrame, files: int, key: str = "doc_id", ids: bool = True) ->
                 fs, inner = open_folder(path)
                 with fs.open_input_file(inner) as f:
                     shard = Shard(f.read())
-                all_ids = shard.ids().astype("<u4")
-                ends = np.cumsum(shard.sizes)
-                parts = [all_ids[e - n: e] for e, n in zip(ends, shard.sizes, strict=True)]
-                columns = [pa.array(shard.keys, pa.int64()), pa.array(shard.starts), pa.array(shard.sizes),
-                           pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())]
-                if ids:
-                    columns.append(pa.array([p.tolist() for p in parts], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+                for a, b, parts in shard.documents():
+                    columns = [pa.array(shard.keys[a:b], pa.int64()), pa.array(shard.starts[a:b]), pa.array(shard.sizes[a:b]),
+                               pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())]
+                    if ids:
+                        columns.append(pa.array([p.tolist() for p in parts], pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+        C.release_memory()
 
     schema = "key long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if ids else "")
     return paths.select("path").repartition(max(1, files)).mapInArrow(run, schema).withColumnRenamed("key", key)

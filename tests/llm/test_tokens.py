@@ -151,3 +151,42 @@ def test_repeated_rows_and_null_keys(spark, tmp_path, reference):
 
 def test_empty_table(spark, tmp_path):
     assert through(spark, [], tmp_path)[0] == []
+
+
+def test_a_worker_holds_a_part_of_a_file_and_of_a_batch(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n = 1 << 20
+    ids = np.minimum(rng.zipf(1.3, n), 50_000).astype(np.uint16)
+    lengths = T.code_lengths(np.bincount(ids, minlength=50_001))
+    sizes = np.append(rng.integers(1, 900, 1500), [1, 30_000, 1])
+    sizes = np.append(sizes, n - sizes.sum())
+    shard = T.Shard(T.shard_bytes(list(range(len(sizes))), np.cumsum(sizes) - sizes, sizes, ids, lengths, T.canonical_codes(lengths)))
+    for limit in (n, 1 << 14):
+        done = 0
+        tracemalloc.start()
+        for a, b, parts in shard.documents(limit):
+            assert a == done and b - a == len(parts) and [len(p) for p in parts] == sizes[a:b].tolist()
+            assert (np.concatenate(parts) == ids[sizes[:a].sum(): sizes[:b].sum()]).all()
+            done = b
+            if limit == 1 << 14 and sizes[a:b].sum() <= limit:
+                assert tracemalloc.get_traced_memory()[1] < 24 << 20  # the whole file takes more than twice that
+                tracemalloc.reset_peak()
+        tracemalloc.stop()
+        assert done == len(sizes)
+    encoder, given = T.Encoder(PATH), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            given.append(len(texts))
+            return tokenizer.encode_batch(texts, add_special_tokens=add_special_tokens)
+
+        encode_batch = encode_batch_fast
+
+    tokenizer, encoder.tokenizer = encoder.tokenizer, Counting()
+    monkeypatch.setattr(T, "ENCODED", 50)
+    for _, _, texts in C.slices(pa.array([" ".join(f"w{i}" for i in range(320))])):
+        got, _ = encoder.encode(texts)
+    assert got.tolist() == tokenizer.encode(" ".join(f"w{i}" for i in range(320)), add_special_tokens=False).ids
+    assert max(given) <= 50 < sum(given)
