@@ -149,6 +149,6 @@ def report_lines(annotated: DataFrame, tags: bool = False) -> DataFrame:
     return annotated.select("doc_id", body.alias("value"))
 
 
-def write_report(annotated: DataFrame, path: str, mode: str = "overwrite", tags: bool = False) -> None:
+def write_report(annotated: DataFrame, path: str, mode: str = "overwrite", tags: bool = False, compression: str = "none") -> None:
     """The report in the order of the documents."""
-    report_lines(annotated, tags).orderBy("doc_id").select("value").write.mode(mode).text(path)
+    report_lines(annotated, tags).orderBy("doc_id").select("value").write.mode(mode).text(path, compression=compression)
